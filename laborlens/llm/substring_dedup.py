@@ -14,7 +14,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from laborlens.llm.windows import merged, named, repeated, words_joined
+from laborlens.llm.windows import BUCKET_CAP, merged, named, repeated, words_joined
 
 
 def sorted_windows(size: int):
@@ -40,7 +40,7 @@ def sorted_windows(size: int):
     return solve
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, k: int = 12, bucket_cap: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 50, k: int = 12, bucket_cap: int = BUCKET_CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_text, kept_sha256)`` for each row.
 
     A word goes if a window of ``size`` words over it also starts in a document

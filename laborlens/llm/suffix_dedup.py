@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from laborlens.llm.windows import as_bytes, merged, named, repeated
+from laborlens.llm.windows import BUCKET_CAP, as_bytes, merged, named, repeated
 
 _STEP = 8  # bytes that multikey quicksort compares at once
 
@@ -120,41 +120,42 @@ def deep_shallow(strings: list[bytes], shallow: int = 64) -> list[int]:
     return order
 
 
-def _agreement(strings: list[bytes]) -> np.ndarray:
-    """How far each two of a bounded bucket agree, from neighbours in sorted order."""
-    n = len(strings)
-    if n == 2:
-        x = common_prefix(*strings)
-        return np.array([[0, x], [x, 0]])
-    order = deep_shallow(strings)
-    near = np.array([common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])])
-    out = np.zeros((n, n), dtype=np.int64)
-    place = np.array(order)
-    for i in range(n - 1):
-        run = np.minimum.accumulate(near[i:])
-        out[place[i], place[i + 1 :]] = run
-        out[place[i + 1 :], place[i]] = run
-    return out
+class Agreement:
+    """How far the strings of a bucket agree, from their neighbours in sorted order; memory grows with the bucket, not its square."""
+
+    def __init__(self, strings: list[bytes]):
+        self.order = np.array(deep_shallow(strings))
+        self.place = np.argsort(self.order)
+        self.near = np.array([common_prefix(strings[a], strings[b]) for a, b in zip(self.order, self.order[1:])], dtype=np.int64)
+
+    def with_all(self, i: int) -> np.ndarray:
+        """Longest common prefixes of string i with each string, 0 with itself."""
+        p, out = self.place[i], np.zeros(len(self.order), dtype=np.int64)
+        out[self.order[:p]] = np.minimum.accumulate(self.near[:p][::-1])[::-1]
+        out[self.order[p + 1 :]] = np.minimum.accumulate(self.near[p:])
+        return out
 
 
 def sorted_suffixes(size: int):
     """Solver of a bucket: repeated strings round the anchor, as one span of each kind."""
 
     def solve(kinds: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        right = _agreement([p[a:] for p, a, *_ in kinds])
-        left = _agreement([p[:a][::-1] for p, a, *_ in kinds])
-        fits = left + right >= size
-        np.fill_diagonal(fits, False)
-        back, ahead = np.where(fits, left, 0).max(axis=1).tolist(), np.where(fits, right, 0).max(axis=1).tolist()
-        for i in np.flatnonzero(fits.any(axis=1)).tolist():
-            a, settled = kinds[i][1], kinds[i][4]
+        if all(x[4] for x in kinds):
+            return
+        ahead = Agreement([p[a:] for p, a, *_ in kinds])
+        back = Agreement([p[:a][::-1] for p, a, *_ in kinds])
+        for i, (_, a, _, _, settled) in enumerate(kinds):
             if not settled:
-                yield i, a - back[i], a + ahead[i]
+                right, left = ahead.with_all(i), back.with_all(i)
+                fits = left + right >= size
+                fits[i] = False
+                if fits.any():
+                    yield i, a - int(left[fits].max()), a + int(right[fits].max())
 
     return solve
 
 
-def remove_repeats(docs: DataFrame, size: int = 400, k: int = 100, bucket_cap: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 400, k: int = 100, bucket_cap: int = BUCKET_CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256)`` for each row; kept is binary.
 
     A byte of the UTF-8 text goes if a string of ``size`` bytes over it also

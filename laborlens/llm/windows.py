@@ -11,8 +11,8 @@ string. The plan
    packed string (everything repeats) from those counts;
 3. fetches one packed string of each kind for the rest and sends it to the bucket
    of its anchor, where the operator's own sorter finds the repeated windows;
-4. treats a bucket with more than ``bucket_cap`` kinds window by window instead:
-   hashes counted with map-side combining, so no bucket has to fit in a task.
+4. treats a bucket whose anchor is met more than ``bucket_cap`` times window by
+   window instead: hashes counted with map-side combining, so no bucket has to fit in a task.
 
 Rows are named by (k1, k2): the id (null: the largest long) and a hash of the
 content. Equal rows share a name and so a result.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from laborlens.llm.common import cut
 
 NO_ID = (1 << 63) - 1
+#: Occurrences of an anchor up to which its bucket is sorted in one task.
+BUCKET_CAP = 4096
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, size=256, dtype=np.uint64)
@@ -155,7 +157,7 @@ def repeated(
     k: int,
     later_only: bool,
     solve: Callable[[list[tuple]], Iterator[tuple[int, int, int]]],
-    bucket_cap: int = 256,
+    bucket_cap: int = BUCKET_CAP,
 ) -> DataFrame:
     """``(k1, k2, spans)`` for texts with repeated windows; spans are ``array<struct<lo,hi>>`` in units, in no order.
 
@@ -176,26 +178,24 @@ def repeated(
 
     found = docs.select("k1", "k2", "text").mapInArrow(scan, "k1 long, k2 long, s int, n int, a int, key long, full long")
     counts = found.groupBy("key").agg(F.count("*").alias("times"), F.min("full").alias("f1"), F.max("full").alias("f2"), F.min("k1").alias("first"), F.max("k1").alias("last"))
-    counts = counts.where("first < last" if later_only else "times > 1").select("key", "first", (F.col("f1") == F.col("f2")).alias("same"))
+    counts = counts.where("first < last" if later_only else "times > 1").select("key", "first", F.col("times").alias("met"), (F.col("f1") == F.col("f2")).alias("same"))
     joined = apart(counts, "key")
     hits = cut(found.join(joined, F.col("key") == F.bitwise_not("not_key")).drop("not_key"))
 
     whole = (F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1 + size).alias("hi"))
     settled = hits.where("same").where("k1 > first" if later_only else "true").select("k1", "k2", *whole)
     mixed = hits.where("not same")
-    kinds = cut(mixed.groupBy("key", "full").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "s", "n", "a")).alias("rep")).select("key", "full", "times", "rep.*"))
+    kinds = cut(mixed.groupBy("key", "full").agg(F.count("*").alias("times"), F.max("met").alias("met"), F.min(F.struct("k1", "k2", "s", "n", "a")).alias("rep")).select("key", "full", "times", "met", "rep.*"))
     several = kinds.where("times > 1").select(F.bitwise_not("key").alias("not_key"), F.col("full").alias("full2"), F.col("k1").alias("first_k1"), "times")
     shared = mixed.join(several, (F.col("key") == F.bitwise_not("not_key")) & (F.col("full") == F.col("full2")))
     also = shared.where("k1 > first_k1" if later_only else "true").select("k1", "k2", *whole)
 
-    hot = cut(kinds.groupBy("key").count().where(F.col("count") > bucket_cap).select("key"))
-    any_hot = not hot.isEmpty()
+    any_hot = not kinds.where(F.col("met") > bucket_cap).isEmpty()
     if later_only:  # a document that has its packed string first may have it in several places
         kinds = kinds.where("times = 1").unionByName(shared.where("k1 = first_k1").select(kinds.columns))
-    cold_kinds = kinds.join(hot, "key", "left_anti") if any_hot else kinds
-    spans = settled.union(also).union(_by_bucket(docs, cold_kinds, by_word, size, later_only, solve, squeeze))
+    spans = settled.union(also).union(_by_bucket(docs, kinds.where(F.col("met") <= bucket_cap), by_word, size, later_only, solve, squeeze))
     if any_hot:
-        spans = spans.union(_by_window(docs, kinds.join(hot, "key", "left_semi"), by_word, size, later_only, squeeze))
+        spans = spans.union(_by_window(docs, kinds.where(F.col("met") > bucket_cap), by_word, size, later_only, squeeze))
     return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
