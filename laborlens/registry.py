@@ -1,2 +1,8 @@
-QUERIES = {}
-SQL = {}
+"""Every registered query of the library, with the SQL that checks it."""
+
+from __future__ import annotations
+
+from laborlens.plans import analytic, relational
+
+QUERIES = {**analytic.QUERIES, **relational.QUERIES}
+SQL = {**analytic.SQL, **relational.SQL}
