@@ -15,7 +15,7 @@ TABLE = {
     "ana31_missing_weeks": "SELECT CAST(date_trunc('week', posted_at) AS DATE) AS week, count(*) AS n FROM job_posting WHERE posted_at IS NOT NULL GROUP BY 1 HAVING count(*) < 50",
     "ana32_report_facts": f"WITH c AS (SELECT s.name, count(DISTINCT CASE WHEN p.posted_at >= TIMESTAMP '2001-06-18 00:00:00' THEN p.id END) AS cur, count(DISTINCT CASE WHEN p.posted_at < TIMESTAMP '2001-06-18 00:00:00' THEN p.id END) AS prev FROM posting_skill ps JOIN job_posting p ON p.id = ps.posting_id JOIN skill s ON s.id = ps.skill_id WHERE ps.requirement IN {_D} AND p.posted_at >= TIMESTAMP '2001-06-11 00:00:00' AND p.posted_at < TIMESTAMP '2001-06-25 00:00:00' GROUP BY 1) SELECT row_number() OVER (ORDER BY cur DESC, name) AS rank, name, cur, prev, cur - prev AS change, CASE WHEN prev > 0 THEN round((cur - prev) / CAST(prev AS DOUBLE), 4) END AS rate, CASE WHEN prev = 0 THEN 'new' WHEN cur > prev THEN 'up' WHEN cur < prev THEN 'down' ELSE 'same' END AS trend FROM c",
     "ana34_recent_messages": "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 12",
-    "ana35_reparse_targets": "SELECT id, source FROM job_posting WHERE source = 'site_a' ORDER BY id LIMIT 100",
+    "ana35_reparse_targets": "SELECT id, source FROM job_posting WHERE source = 'site_a'",
     "ana36_embed_targets": "SELECT id FROM job_posting WHERE NOT body_is_image AND NOT body_extract_failed AND embed_hash IS DISTINCT FROM content_hash",
     "ana36_embed_backlog": "SELECT count(*) AS n FROM job_posting WHERE NOT body_is_image AND NOT body_extract_failed AND (embed_hash IS NULL OR embed_hash IS DISTINCT FROM content_hash)",
     "ana37_companies_to_embed": "SELECT id, coalesce(nullif(trim(description), ''), nullif(trim(business_content), '')) AS text FROM company WHERE coalesce(nullif(trim(description), ''), nullif(trim(business_content), '')) IS NOT NULL",
@@ -28,8 +28,8 @@ TABLE = {
     "jn2_left_outer": "SELECT c.id, count(p.id) AS n FROM company c LEFT JOIN job_posting p ON p.company_id = c.id GROUP BY c.id",
     "jn3_semi_in": "SELECT id FROM job_posting WHERE company_id IN (SELECT id FROM company WHERE size_type = 'large')",
     "jn4_not_in_null_aware": "SELECT id FROM company WHERE id NOT IN (SELECT CASE WHEN id % 2 = 0 THEN company_id END FROM job_posting)",
-    "jn4_not_in_without_null": "SELECT id FROM company WHERE id NOT IN (SELECT company_id FROM job_posting WHERE company_id IS NOT NULL)",
-    "jn5_tuple_not_in": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10) GROUP BY 1, 2",
+    "jn4_not_in_without_null": "SELECT id FROM company WHERE id NOT IN (SELECT company_id FROM job_posting WHERE salary_type = 'negotiable' AND company_id IS NOT NULL)",
+    "jn5_tuple_not_in": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_linenumber = l.l_linenumber AND x.l_quantity > 10) GROUP BY 1, 2",
     "jn6_anti_filter": "SELECT skill_id, count(*) AS n FROM posting_skill WHERE skill_id NOT IN (11, 22, 33) AND requirement <> 'body' GROUP BY 1",
     "jn7_mark_join": "SELECT name, EXISTS (SELECT 1 FROM (SELECT alias AS x FROM skill_alias UNION ALL SELECT name FROM skill WHERE is_common) d WHERE d.x = s.name) AS matched FROM skill s",
     "jn8_correlated_scalar": "SELECT c.id, (SELECT count(*) FROM job_posting p WHERE p.company_id = c.id) AS n FROM company c",
@@ -49,7 +49,7 @@ TABLE = {
     "flt8_length_and_lists": "SELECT id FROM skill_alias_view WHERE length(alias) BETWEEN 3 AND 30 AND alias NOT IN ('group1', 'group2')",
     "flt9_constant_false": "SELECT id FROM company WHERE 1 = 0",
     "flt12_age_cutoff": "SELECT id FROM crawl_run WHERE status = 'running' AND started_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 6 HOUR",
-    "flt14_ownership": "SELECT conv_id, turn FROM conversations WHERE conv_id = 3 AND role = 'user'",
+    "flt14_ownership": "SELECT c.conv_id, c.turn FROM conversations c WHERE c.role = 'user' AND EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'assistant')",
     "agg1_count": "SELECT count(*) AS rows_, count(career_min) AS known FROM job_posting",
     "agg2_count_distinct": "SELECT requirement, count(DISTINCT posting_id) AS n FROM posting_skill GROUP BY 1",
     "agg3_filter": "SELECT count(*) FILTER (WHERE career_min > 3) AS n, count(DISTINCT company_id) FILTER (WHERE field_id = 1) AS d, min(salary_min) FILTER (WHERE salary_type = 'range') AS lo, max(salary_min) FILTER (WHERE salary_type = 'range') AS hi FROM job_posting",
@@ -61,18 +61,18 @@ TABLE = {
     "agg12_majority_vote": "SELECT posting_id, CASE WHEN count(*) = 1 THEN min(vote) END AS vote FROM (SELECT posting_id, vote, n, max(n) OVER (PARTITION BY posting_id) AS top FROM (SELECT posting_id, skill_id % 3 AS vote, count(*) AS n FROM posting_skill GROUP BY 1, 2)) WHERE n = top GROUP BY 1",
     "agg13_max_grade": "SELECT skill_id, max(CASE requirement WHEN 'tag' THEN 3 WHEN 'required' THEN 2 WHEN 'preferred' THEN 1 ELSE 0 END) AS grade, CAST(sum(mentions) AS BIGINT) AS mentions FROM posting_skill GROUP BY 1",
     "agg15_run_counters": "SELECT status, count(*) AS n, count(finished_at) AS finished FROM crawl_run GROUP BY 1",
-    "win1_rank": "SELECT id, row_number() OVER (ORDER BY salary_min DESC NULLS LAST, id) AS rank FROM job_posting WHERE field_id = 1",
+    "win1_rank": "SELECT id, CAST(row_number() OVER (PARTITION BY field_id ORDER BY salary_min DESC NULLS LAST, id) AS INT) AS rank FROM job_posting",
     "win2_top_per_group": "SELECT company_id, id, r FROM (SELECT company_id, id, row_number() OVER (PARTITION BY company_id ORDER BY salary_min DESC NULLS LAST, id) AS r FROM job_posting) WHERE r <= 3",
     "win3_percent_rank": "SELECT id, round(percent_rank() OVER (PARTITION BY size_type ORDER BY coalesce(employee_count, 0)), 6) AS p FROM company",
     "win4_first_per_key": "SELECT company_id, title, id FROM (SELECT company_id, title, id, row_number() OVER (PARTITION BY company_id, title ORDER BY id) AS r FROM job_posting) WHERE r = 1",
     "win5_known_page_run": "WITH p AS (SELECT user_id, floor(event_id / 50) AS page, min(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS known FROM events GROUP BY 1, 2), g AS (SELECT *, sum(1 - known) OVER (PARTITION BY user_id ORDER BY page) AS island FROM p) SELECT user_id, CAST(max(run) AS BIGINT) AS longest FROM (SELECT user_id, island, sum(known) AS run FROM g GROUP BY 1, 2) GROUP BY 1",
-    "srt1_multi_key": "SELECT id, row_number() OVER (ORDER BY coalesce(career_min, 0) DESC, title, id) AS pos FROM job_posting WHERE company_id < 40",
+    "srt1_multi_key": "SELECT id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY coalesce(career_min, 0) DESC, title, id) AS INT) AS pos FROM job_posting",
     "srt2_top_k": "SELECT id, salary_min FROM job_posting ORDER BY salary_min DESC NULLS LAST, id LIMIT 25",
     "srt4_last_n_ascending": "SELECT id, posted_day, row_number() OVER (ORDER BY id) AS pos FROM (SELECT id, CAST(posted_at AS DATE) AS posted_day FROM job_posting ORDER BY id DESC LIMIT 20)",
     "set1_union_all": "SELECT src, count(*) AS n FROM (SELECT 'alias' AS src FROM skill_alias UNION ALL SELECT 'name' FROM skill) GROUP BY 1",
-    "set2_union": "SELECT id FROM company WHERE id < 50 UNION SELECT company_id FROM job_posting WHERE id < 200",
-    "set3_intersect": "SELECT skill_id FROM posting_skill WHERE posting_id < 50 INTERSECT SELECT skill_id FROM posting_skill WHERE posting_id BETWEEN 60 AND 90",
-    "set4_except": "SELECT id FROM skill EXCEPT SELECT skill_id FROM posting_skill WHERE posting_id < 12",
+    "set2_union": "SELECT id FROM company WHERE size_type = 'small' UNION SELECT company_id FROM job_posting WHERE source = 'site_a'",
+    "set3_intersect": "SELECT skill_id FROM posting_skill WHERE requirement = 'tag' INTERSECT SELECT skill_id FROM posting_skill WHERE requirement = 'body'",
+    "set4_except": "SELECT company_id FROM job_posting WHERE salary_type = 'range' EXCEPT SELECT company_id FROM job_posting WHERE salary_type = 'negotiable'",
     "cte1_chain": "WITH a AS (SELECT posting_id, count(*) AS n FROM posting_skill GROUP BY 1), b AS (SELECT n, count(*) AS postings FROM a GROUP BY 1) SELECT n, postings FROM b WHERE postings > 5",
     "sc1_text_functions": "SELECT id, coalesce(nullif(trim(description), ''), business_content, '-') AS text, lower(name) AS low, length(name) AS len, left(name, 5) AS head FROM company",
     "sc2_split_part": "SELECT id, split_part(location, ' ', 1) AS a, split_part(location, ' ', 2) AS b FROM job_posting WHERE location IS NOT NULL",
@@ -81,8 +81,8 @@ TABLE = {
     "mrg10_stale_runs": "SELECT id, CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-15 00:00:00' THEN 'failed' ELSE status END AS status FROM crawl_run",
     "mrg14_change_class": "SELECT id, CASE WHEN embed_hash = content_hash THEN 'unchanged' WHEN embed_hash IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM job_posting",
     "mrg15_prune": "SELECT id, name FROM skill WHERE category IS NOT NULL",
-    "st3_backfill_stop": "SELECT floor(id / 100) AS page, coalesce(max(posted_at) < TIMESTAMP '1998-01-01 00:00:00', false) AS stop FROM job_posting GROUP BY 1",
-    "st8_sliding_minute": "SELECT event_id, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts - INTERVAL 60 SECOND AND b.ts <= a.ts) AS n FROM events a WHERE a.user_id < 20",
+    "st3_backfill_stop": "SELECT CAST(floor(id / 100) AS BIGINT) AS page, coalesce(max(posted_at) < TIMESTAMP '1998-01-01 00:00:00', false) AS stop FROM job_posting GROUP BY 1",
+    "st8_sliding_minute": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999' SECOND PRECEDING AND CURRENT ROW) AS n FROM events",
     "st9_minute_counter": "SELECT user_id, CAST(date_trunc('minute', ts) AS VARCHAR(19)) AS minute_, count(*) AS n FROM events GROUP BY 1, 2",
     "st10_daily_budget": "SELECT user_id, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, round(sum(value), 4) AS spent FROM events GROUP BY 1, 2",
     "st11_daily_job_dedup": "SELECT DISTINCT event_type, user_id % 10 AS keyword, CAST(ts AS DATE) AS day FROM events",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laborlens.plans import analytic, relational
+from laborlens.plans import analytic, relational, text
 
-QUERIES = {**analytic.QUERIES, **relational.QUERIES}
-SQL = {**analytic.SQL, **relational.SQL}
+QUERIES = {**analytic.QUERIES, **relational.QUERIES, **text.QUERIES}
+SQL = {**analytic.SQL, **relational.SQL, **text.SQL}
