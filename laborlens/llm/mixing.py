@@ -54,7 +54,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     as its target holds its size, and rows under the hash threshold once more. Null
     ids hash by their text, repeated rows are taken alike, null is a source of its
     own, and an empty table gives no rows. With ``carry`` the rows of ``docs`` that
-    are taken come back instead, with their columns and ``copies``.
+    are taken come back instead, with their columns and ``copies`` (a column of that name is replaced).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h = _hash(F.col(id_col), text)
@@ -84,11 +84,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # What is left of the budget takes the last bucket too if that comes nearer to it.
     edge = sum(F.col(f"b{i}") * (1 << (BITS * (LEVELS - 1 - i))) for i in range(LEVELS)) + F.when(F.col("need") * 2 > F.col("last"), 1).otherwise(0)
     final = with_plan(plan.select("source", "source_size", "target", "times"), bounds.select("source", edge.alias("edge")))
-    if carry:
-        rows = docs.withColumns({"__h": h})
+    if carry:  # the row travels as one struct, so that its columns clash with none of the plan's
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copies")).alias("row"), F.col(source_col).cast("string").alias("source"), h.alias("h"))
     out = with_plan(rows, final)
-    more = (F.col("times") < MOST) & (F.shiftright("__h" if carry else "h", 60 - BITS * LEVELS) < F.col("edge"))
+    more = (F.col("times") < MOST) & (F.shiftright("h", 60 - BITS * LEVELS) < F.col("edge"))
     if carry:
         copies = (F.col("times") + more.cast("long")).cast("int")
-        return out.select(*docs.columns, copies.alias("copies")).where("copies > 0")
+        return out.withColumn("copies", copies).where("copies > 0").select("row.*", "copies")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + more.cast("long"))).cast("long").alias("taken"), "source")
