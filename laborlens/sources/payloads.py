@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from laborlens.sources.market import Market
 
@@ -81,7 +82,7 @@ def read_html(html: str | None) -> tuple[str, list[str]]:
     return "\n".join(x for x in lines if x), list(dict.fromkeys(r.images))[:MOST_IMAGES]
 
 
-@F.pandas_udf("struct<text:string,images:array<string>>")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("images", ArrayType(StringType()))]))
 def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for b in pages:
         yield pd.DataFrame([read_html(h) for h in b], columns=["text", "images"])
