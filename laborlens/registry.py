@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laborlens.plans import analytic, incremental, relational, text
+from laborlens.plans import analytic, embedding, incremental, relational, text
 
-QUERIES = {**analytic.QUERIES, **relational.QUERIES, **text.QUERIES, **incremental.QUERIES}
-SQL = {**analytic.SQL, **relational.SQL, **text.SQL, **incremental.SQL}
+QUERIES = {**analytic.QUERIES, **relational.QUERIES, **text.QUERIES, **incremental.QUERIES, **embedding.QUERIES}
+SQL = {**analytic.SQL, **relational.SQL, **text.SQL, **incremental.SQL, **embedding.SQL}
