@@ -10,6 +10,8 @@ from laborlens.operators import backlog, batching
 from laborlens.sources.market import Market, expanded
 
 _DIM = 20
+#: Ratios often end in 5 exactly; this takes ties of rounding one way however they were summed.
+_TIE = 1e-9
 _HOST = "https://img.example.com/"
 _SEEN = "SELECT user_id, event_id, event_id % 50 AS chars, event_id % 41 AS tokens FROM events"
 _SIZED = "SELECT o_custkey AS lane, o_orderkey AS seq, o_orderkey % 60 AS size FROM orders"
@@ -49,7 +51,7 @@ def stamps(m: Market) -> DataFrame:
 
 def _packing(most_size: int, most_rows: int) -> str:
     return f"""WITH RECURSIVE s AS (SELECT CAST(lane AS VARCHAR) AS lane, seq, size, row_number() OVER (PARTITION BY lane ORDER BY seq) AS i FROM ({_SIZED})),
- g AS (SELECT lane, seq, size, i, 0 AS batch, size AS total, 1 AS n FROM s WHERE i = 1
+ g AS (SELECT lane, seq, size, i, 0::BIGINT AS batch, size AS total, 1 AS n FROM s WHERE i = 1
  UNION ALL SELECT s.lane, s.seq, s.size, s.i, CASE WHEN g.total + s.size > {most_size} OR g.n >= {most_rows} THEN g.batch + 1 ELSE g.batch END,
  CASE WHEN g.total + s.size > {most_size} OR g.n >= {most_rows} THEN s.size ELSE g.total + s.size END, CASE WHEN g.total + s.size > {most_size} OR g.n >= {most_rows} THEN 1 ELSE g.n + 1 END
  FROM g JOIN s ON s.lane = g.lane AND s.i = g.i + 1) SELECT lane, seq, size, batch FROM g"""
@@ -61,10 +63,10 @@ _HASHES = " || ".join(f"sha256(encode(name) || '\\x00\\x00\\x00\\x{i:02X}'::BLOB
 TABLE = {
     "tx31_hash_vectors": (vectors, f"""SELECT id, CAST({_DIM} AS INTEGER) AS dim, 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[{_DIM}] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS last
  FROM (SELECT id, [{', '.join(_WORD.format(1 + 8 * j) for j in range(_DIM))}] AS v FROM (SELECT id, {_HASHES} AS h FROM skill))"""),
-    "tx32_token_ratio": (lambda m: batching.token_ratio(m.sql(_SEEN), ["user_id"], ["event_id"]).withColumn("ratio", F.round("ratio", 6)), f"""WITH RECURSIVE s AS (SELECT user_id, tokens / chars * 1.1 AS seen, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM ({_SEEN}) WHERE chars > 0 AND tokens > 0),
+    "tx32_token_ratio": (lambda m: batching.token_ratio(m.sql(_SEEN), ["user_id"], ["event_id"]).withColumn("ratio", F.round(F.col("ratio") + _TIE, 6)), f"""WITH RECURSIVE s AS (SELECT user_id, tokens / chars * 1.1 AS seen, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM ({_SEEN}) WHERE chars > 0 AND tokens > 0),
  g AS (SELECT user_id, i, CASE WHEN seen > 0.85 THEN CAST(seen AS DOUBLE) ELSE greatest(0.85 * 0.95::DOUBLE, seen, 0.45) END AS ratio FROM s WHERE i = 1
  UNION ALL SELECT s.user_id, s.i, CASE WHEN s.seen > g.ratio THEN s.seen ELSE greatest(g.ratio * 0.95, s.seen, 0.45) END FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.i + 1)
- SELECT user_id, max(i) AS samples, round(arg_max(ratio, i), 6) AS ratio FROM g GROUP BY 1"""),
+ SELECT user_id, max(i) AS samples, round(arg_max(ratio, i) + {_TIE}, 6) AS ratio FROM g GROUP BY 1"""),
     "tx30_company_text": (companies, """SELECT id, t AS embed_text, sha256(t) AS embed_hash FROM (SELECT id, concat_ws(chr(10), CASE WHEN trim(description) <> '' THEN trim(description) END, CASE WHEN business_content IS NOT NULL THEN concat('a b ', business_content) END, size_type) AS t FROM company)"""),
     "tx35_seed_aliases": (aliases, "SELECT id, concat(lower(name), '|al', id) AS plain, concat('C', id) AS cased, concat(name, ', ', lower(name), ', al', id) AS embed_text FROM skill"),
     "tx33_clamp": (clamps, f"SELECT doc_id, least(length(text), {embedding.MOST_CHARS}) AS chars FROM documents"),
