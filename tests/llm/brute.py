@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -160,3 +161,44 @@ def targets(sizes):
         out |= {s: 3.0 * sizes[s] for s in stop}
         free = [s for s in free if s not in stop]
     return out
+
+
+def _xx(*values):
+    """Spark's xxhash64 of strings, longs and ints, unsigned."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=v < 0) if not isinstance(v, bool) else int(v).to_bytes(4, "little"), h)
+    return h
+
+
+def _signed(h):
+    return h - (1 << 64) * (h >> 63)
+
+
+def quality_scores(docs, labels, buckets=1 << 13, quantile=0.01, least=50, fixed=-0.15):
+    """{doc_id: (score, threshold)} by counting n-grams in dictionaries, and the threshold. ``labels``: (doc_id, quality, toxic)."""
+    good = sorted({i for i, q, t in labels if i is not None and q == 1 and not t}, key=lambda i: (_signed(_xx(i)), i))[:20_000]
+    held = {i for i in good if _xx(i, True) % 2}
+    grams = {}
+    for i, text in docs:
+        h = [_signed(_xx(w)) for w in words(text)]
+        grams[i] = [x % buckets for x in h] + [_signed(_xx(a, b)) % buckets for a, b in zip(h, h[1:])]
+    raw = Counter(g for gs in grams.values() for g in gs)
+
+    def scores(fit):
+        target = Counter(g for i in fit for g in grams.get(i, ()))
+        if not target:
+            return dict.fromkeys(grams, 0.0)
+        a, b = target.total() + buckets, raw.total() + buckets
+        table = [round(math.log((target[g] + 1) / a) - math.log((raw[g] + 1) / b), 6) for g in range(buckets)]
+        return {i: round(sum(table[g] for g in gs) / max(1, len(gs)), 6) for i, gs in grams.items()}
+
+    texts = dict(docs)
+    if len(held) >= least:
+        got = scores([i for i in good if i not in held])
+        passed = sorted(got[i] for i in held if i in got and not quality(texts[i])[-1])
+        if len(passed) >= least:
+            at = quantile * (len(passed) - 1)
+            lo = int(at)
+            return got, passed[lo] + (at - lo) * (passed[min(lo + 1, len(passed) - 1)] - passed[lo])
+    return scores(good), fixed

@@ -66,6 +66,11 @@ def test_quality(spark, docs):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(t), i
         assert not (r.base_failed and r.kept)
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    scores, low = brute.quality_scores(docs, labels)
+    for i, want in scores.items():
+        assert got[i].score == pytest.approx(want, abs=2e-6), i
+        assert abs(want - low) < 4e-6 or got[i].kept == (not got[i].base_failed and want >= low), i
     good = [r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect() if not got[r.doc_id].base_failed]
     bad = [r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect() if not got[r.doc_id].base_failed]
     rate = lambda ids: sum(got[i].kept for i in ids) / max(len(ids), 1)
