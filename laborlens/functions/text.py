@@ -24,6 +24,7 @@ SECTIONS = (
     ("responsibility", r"주요\s*업무|담당\s*업무|업무\s*내용|수행\s*업무|이런\s*일을\s*해"),
 )
 HEADER_CHARS = 60
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 
 # Keywords of tech fields in the order in which they are tried; WHOLE ones need word boundaries.
 FIELDS = (
@@ -77,7 +78,7 @@ def section_of(line: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """``array<struct<section,text>>`` of a body: a header opens a block, what stands before the first is ``body``; blank blocks go."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\r\n|[\n\r\x0b\x0c\x85  ]")
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
 
     def blocks(ln: Column) -> Column:
         heads = F.filter(F.transform(ln, lambda x, i: F.struct(i.alias("at"), section_of(x).alias("section"))), lambda h: h["section"].isNotNull())
@@ -210,7 +211,3 @@ def chunk_hash(section: Column, content: Column) -> Column:
 
 def token_estimate(content: Column) -> Column:
     return F.greatest(F.lit(1), F.length(squeezed(content)))
-
-
-def not_in_future(moment: Column, as_of: Column) -> Column:
-    return F.when(moment <= as_of, moment)

@@ -60,11 +60,9 @@ def bodies(m: Market) -> DataFrame:
 
 
 def round_trip(m: Market) -> DataFrame:
-    """The dictionary is a dimension of bounded size (refused beyond 100,000 rows)."""
-    known = m.skill.select("id", "name").orderBy("id").limit(100_001).collect()
-    if len(known) > 100_000:
-        raise ValueError("the dictionary has more than 100,000 skills")
-    words = skills.Dictionary([skills.Skill(r["id"], aliases=(r["name"],), ambiguous=r["id"] % 2 == 0) for r in known])
+    """Skills from texts that were made from posting_skill."""
+    known = m.skill.select("id", "name").orderBy("id").collect()
+    words = [skills.Skill(r["id"], aliases=(r["name"],), ambiguous=r["id"] % 2 == 0) for r in known]
     return skills.graded(bodies(m), words).select("posting_id", "skill_id", "requirement", "mentions")
 
 
