@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,12 @@ def words_joined(text: str | None) -> bytes:
     return b" ".join(as_bytes(text).split())
 
 
+def _content(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of byte ranges: unlike the rolling sums, which only choose anchors, no construction of repeated words makes it collide."""
+    hashed = xxhash.xxh3_64_intdigest
+    return np.fromiter((hashed(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), dtype=np.uint64, count=len(starts)).view(np.int64)
+
+
 def _units(texts: list[bytes], by_word: bool) -> tuple[np.ndarray, np.ndarray]:
     """Unit hashes of the texts end to end, and how many each text has."""
     if not by_word:
@@ -124,7 +131,13 @@ def super_kmers(texts: list[bytes], by_word: bool, size: int, k: int) -> dict[st
     n = np.diff(np.concatenate((first, [len(at)])))
     s, a = at[first], anchor[first]
     base = np.concatenate(([0], np.cumsum(sizes)))
-    return {"text": text_of[s], "s": s - base[text_of[s]], "n": n, "a": a - s, "key": grams[a].view(np.int64), "full": roll.of(s, s + n - 1 + size).view(np.int64)}
+    if by_word:
+        joined = b" ".join(t for t in texts if t)
+        starts, ends = word_bounds(joined)
+        full = _content(joined, starts[s], ends[s + n - 2 + size])
+    else:
+        full = _content(b"".join(texts), s, s + n - 1 + size)
+    return {"text": text_of[s], "s": s - base[text_of[s]], "n": n, "a": a - s, "key": grams[a].view(np.int64), "full": full}
 
 
 def _grouped(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -263,10 +276,11 @@ def _by_window(docs: DataFrame, kinds: DataFrame, by_word: bool, size: int, late
         for b in batches:
             for r in range(b.num_rows):
                 k1, k2, kinds = b.column(0)[r].as_py(), b.column(1)[r].as_py(), b.column(3)[r].as_py()
-                roll = Rolling(_units([squeeze(b.column(2)[r].as_py())], by_word)[0])
+                body = squeeze(b.column(2)[r].as_py())
+                starts, ends = word_bounds(body) if by_word else (np.arange(len(body)), np.arange(1, len(body) + 1))
                 at = np.concatenate([np.arange(x["s"], x["s"] + x["n"]) for x in kinds])
                 key = np.repeat([x["key"] for x in kinds], [x["n"] for x in kinds])
-                cols = [np.full(len(at), k1), np.full(len(at), k2), key, roll.of(at, at + size).view(np.int64), at.astype(np.int32)]
+                cols = [np.full(len(at), k1), np.full(len(at), k2), key, _content(body, starts[at], ends[at + size - 1]), at.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "key", "w", "lo"])
 
     every = _wanted(docs, kinds).mapInArrow(each, "k1 long, k2 long, key long, w long, lo int")

@@ -148,3 +148,14 @@ def test_empty_tables(docs, bench, labels, tmp_path):
     ]
     for df in results:
         assert df.isEmpty()
+
+
+@pytest.mark.parametrize("cap", [1, 4096])
+def test_words_that_collide_in_rolling_sums(spark, cap):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(n, " ".join([*(f"w{i}" for i in range(25)), w, *(f"v{i}" for i in range(24))])) for n, w in enumerate((one, two, one))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, bucket_cap=cap).collect()}
+    assert got == {0: 0, 1: 0, 2: 50}
