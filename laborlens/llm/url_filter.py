@@ -1,11 +1,13 @@
 """URL filter by rules and a path-template tree.
 
-Rules decide first. For the rest, each host has a tree of two path segments, with
-runs of digits generalised to wildcards. Branches whose smoothed rate of blocked
-labels does not differ from that of their parent by more than chance are merged
-into one wildcard branch; a template is rejected if its smoothed share of blocked
-labels reaches ``purity``. The labels are the verdicts of the rules. DataFrame
-functions only; counts are summed before any of them is shuffled.
+Rules decide first. For the rest, each host has a tree over all segments of its
+paths, with numbers, hex strings and UUIDs generalised to wildcards. The tree is
+merged from the host down: a branch whose smoothed rate of blocked labels does not
+differ from that of its parent by more than chance becomes the parent's wildcard
+branch, and the subtrees of merged branches are pooled and merged on. A template is
+rejected if its smoothed share of blocked labels reaches ``purity``. The labels are
+the verdicts of the rules. DataFrame functions only; counts are summed by leaf
+before anything is shuffled, and each level is one pass over the leaves that reach it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,15 @@ from laborlens.llm.common import cut
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 PURITY = 0.9
 Z = 1.96
+#: Segments from this number on count as one, so that the number of levels is bounded; none is dropped.
+LEVELS = 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# What varies within a segment: UUIDs, hex strings with a digit, numbers.
+_VARIABLE = (
+    r"(?<=/)[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?=/|$)",
+    r"(?<=/)(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{8,}(?=/|$)",
+    r"[0-9]+",
+)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,45 +52,66 @@ def by_rule(rules, what) -> Column:
     return out
 
 
+def generalised(path: Column) -> Column:
+    """The path with what varies replaced by ``*``, without empty segments."""
+    for pattern in _VARIABLE:
+        path = F.regexp_replace(path, pattern, "*")
+    return F.array_join(F.array_remove(F.split(path, "/"), ""), "/")
+
+
+def _segments(path: Column) -> Column:
+    parts = F.split(path, "/", LEVELS)  # the last part takes the rest
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(parts)
+
+
 def _rate(block: str, labels: str) -> Column:
     return (F.col(block) + 1) / (F.col(labels) + 2)
 
 
-def _merge(nodes: DataFrame, parent: list[str], branch: str) -> DataFrame:
-    """``nodes`` with ``branch`` replaced by ``*`` where it is like its parent. nodes: counts by parent and branch."""
-    above = nodes.groupBy(*parent).agg(F.sum("block").alias("pb"), F.sum("labels").alias("pl"), F.count("*").alias("pn"))
-    above = above.select(*(F.reverse(c).alias(f"r_{c}") for c in parent), "pb", "pl", "pn")
-    on = [F.col(c) == F.reverse(f"r_{c}") for c in parent]  # dealt anew, so that a host with many branches may be split
+def _level(leaves: DataFrame, depth: int) -> DataFrame:
+    """Leaves that reach ``depth`` with their node moved one segment down; a leaf that ends here moves to its node's end, segment ``""``."""
+    here = leaves.withColumn("seg", F.coalesce(F.get("segs", F.lit(depth)), F.lit("")))
+    branch = here.groupBy("node", "seg").agg(F.sum("block").alias("b"), F.sum("labels").alias("l"))
+    above = branch.groupBy("node").agg(F.sum("b").alias("pb"), F.sum("l").alias("pl"), F.count("*").alias("pn")).select(F.reverse("node").alias("edon"), "pb", "pl", "pn")
     p = _rate("pb", "pl")
-    error = F.sqrt(p * (1 - p) * (1 / (F.col("labels") + 2) + 1 / (F.col("pl") + 2)))
-    like = F.abs(_rate("block", "labels") - p) <= Z * error
-    out = nodes.join(above, on).withColumn("to", F.when((F.col("pn") > 1) & like, F.lit("*")).otherwise(F.col(branch)))
-    return out.select(*nodes.columns, "to")
+    error = F.sqrt(p * (1 - p) * (1 / (F.col("l") + 2) + 1 / (F.col("pl") + 2)))
+    like = (F.col("pn") > 1) & (F.abs(_rate("b", "l") - p) <= Z * error)
+    # Joins are on reversed names, so that they deal both sides anew and a host with many branches may be split.
+    branch = branch.join(above, F.col("node") == F.reverse("edon")).select(F.reverse("node").alias("edon"), F.reverse("seg").alias("ges"), F.when(like, "*").otherwise(F.col("seg")).alias("to"))
+    out = here.join(branch, (F.col("node") == F.reverse("edon")) & (F.col("seg") == F.reverse("ges")))
+    return cut(out.select("leaf", F.concat_ws("/", "node", "to").alias("node"), "segs", "block", "labels", (F.col("seg") == "").alias("ended")))
+
+
+def tree(rows: DataFrame, purity: float = PURITY) -> DataFrame:
+    """``(leaf, template, reject)`` of each leaf of ``rows (leaf, host, label)``; a leaf is ``host/generalised path``."""
+    counts = rows.groupBy("leaf", "host").agg(F.count_if(F.col("label") == "block").alias("block"), F.count("label").alias("labels"))
+    leaves = cut(counts.select("leaf", F.col("host").alias("node"), _segments(F.substr("leaf", F.length("host") + 2)).alias("segs"), "block", "labels"))
+    depth = leaves.agg(F.max(F.size("segs"))).first()[0] or 0
+    done = []
+    for d in range(depth + 1):
+        moved = _level(leaves, d)
+        done.append(moved.where("ended").select("leaf", "node", "block", "labels"))
+        leaves = moved.where("not ended")
+    ends = done[0]
+    for more in done[1:]:
+        ends = ends.union(more)
+    pure = ends.groupBy("node").agg(F.sum("block").alias("pb"), F.sum("labels").alias("pl")).select(F.reverse("node").alias("edon"), (_rate("pb", "pl") >= purity).alias("reject"))
+    return ends.join(pure, F.col("node") == F.reverse("edon")).select("leaf", F.col("node").alias("template"), "reject")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, purity: float = PURITY, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``(page_id, host, path, rule, verdict, template)`` for each row; template is null where a rule decides.
 
     Null and malformed URLs have an empty host and path, which form a template
-    like any other. Null ids are kept, repeated rows each come back and count
-    each; an empty table gives no rows.
+    like any other. Without any label no template is rejected. Null ids are kept,
+    repeated rows each come back and count each; an empty table gives no rows.
+    Other columns of ``pages`` are not read.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.select("*", by_rule(rules, lambda r: r[1] + r[2]).alias("rule"), by_rule(rules, lambda r: r[0]).alias("label"))
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    part = lambda i: F.regexp_replace(F.coalesce(F.get(parts, F.lit(i)), F.lit("")), "[0-9]+", "*")
-    rows = rows.select("*", part(0).alias("s1"), part(1).alias("s2"))
-    leaves = cut(rows.groupBy("host", "s1", "s2").agg(F.count_if(F.col("label") == "block").alias("block"), F.count("label").alias("labels")))
-    lower = _merge(leaves, ["host", "s1"], "s2").withColumnRenamed("to", "t2")
-    upper = _merge(lower.groupBy("host", "s1").agg(F.sum("block").alias("block"), F.sum("labels").alias("labels")), ["host"], "s1")
-    tops = upper.select(F.reverse("host").alias("r_host"), F.reverse("s1").alias("r_s1"), F.col("to").alias("t1"))
-    tree = lower.join(tops, (F.col("host") == F.reverse("r_host")) & (F.col("s1") == F.reverse("r_s1")))
-    tree = cut(tree.select("host", "s1", "s2", "block", "labels", "t1", F.when(F.col("t1") == "*", "*").otherwise(F.col("t2")).alias("t2")))
-    pure = tree.groupBy("host", "t1", "t2").agg(F.sum("block").alias("block"), F.sum("labels").alias("labels"))
-    pure = pure.select(*(F.reverse(c).alias(f"r_{c}") for c in ("host", "t1", "t2")), (_rate("block", "labels") >= purity).alias("reject"))
-    tree = tree.join(pure, [F.col(c) == F.reverse(f"r_{c}") for c in ("host", "t1", "t2")])
-    tree = tree.select(*(F.reverse(c).alias(f"r_{c}") for c in ("host", "s1", "s2")), F.concat_ws("/", "host", "t1", "t2").alias("template"), "reject")
-    out = rows.join(tree, [F.col(c) == F.reverse(f"r_{c}") for c in ("host", "s1", "s2")], "left")
+    rows = rows.withColumn("leaf", F.concat("host", F.lit("/"), generalised(F.col("path"))))
+    verdicts = tree(rows, purity).select(F.reverse("leaf").alias("fael"), "template", "reject")
+    out = rows.join(verdicts, F.col("leaf") == F.reverse("fael"), "left")
     method = F.when(F.col("reject"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("label", method).alias("verdict"), F.when(F.col("rule").isNull(), F.col("template")).alias("template"))
