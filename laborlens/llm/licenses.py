@@ -1,39 +1,27 @@
 """Licence scan: Dice coefficient over word bigrams against templates.
 
-A unit of text (a line, a paragraph of several lines, the whole text) is
-normalised to lower-case words. Only templates whose number of bigrams allows the
-threshold are compared: Dice >= t needs n between t/(2-t) and (2-t)/t times the
-template's.
+A unit of text is normalised to lower-case words, so that comment markers and line
+breaks don't count. Units are lines, paragraphs of several lines, the whole text,
+and passages: runs of as many words as a template has, at the places where the text
+shares bigrams with it, so that a notice inside a longer line, or a licence that runs
+over several paragraphs among other text, is found too. Only templates whose number
+of bigrams allows the threshold are compared: Dice >= t needs n between t/(2-t) and
+(2-t)/t times the template's.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laborlens.llm.license_texts import TEMPLATES
+
 LEAST = 0.8
-# Notices of public licences, one template a line.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,10 +53,14 @@ class Matcher:
     def __init__(self, templates, least: float = LEAST):
         self.least = least
         self.templates = [(name, x := bigrams(text), x.total()) for name, text in templates]
-        self.having: dict[tuple[str, str], list[int]] = {}
-        for i, (_, grams, _) in enumerate(self.templates):
-            for g in grams:
-                self.having.setdefault(g, []).append(i)
+        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        self.places: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        for i, (name, text) in enumerate(templates):
+            words = _WORD.findall(text.lower())
+            for at, g in enumerate(zip(words, words[1:])):
+                self.places[g].append((i, at))
+            for g in self.templates[i][1]:
+                self.having[g].append(i)
         sizes = [n for *_, n in self.templates] or [0]
         self.bounds = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
 
@@ -84,25 +76,66 @@ class Matcher:
         for i in sorted(near):
             name, theirs, m = self.templates[i]
             if m * self.least / (2 - self.least) <= n <= m * (2 - self.least) / self.least:
-                dice = 2 * sum(min(c, mine[g]) for g, c in theirs.items() if g in mine) / (n + m)
+                dice = self._dice(i, mine, n)
                 if dice >= self.least and (top is None or dice > top[1]):
                     top = name, dice
         return top
 
+    def _dice(self, i: int, mine: Counter, n: int) -> float:
+        _, theirs, m = self.templates[i]
+        return 2 * sum(min(c, mine[g]) for g, c in theirs.items() if g in mine) / (n + m)
+
+    def passages(self, text: str) -> Iterator[tuple[int, str, float]]:
+        """First line, template and Dice of the best passages that don't overlap; a better one goes before, of equals the earlier.
+
+        A passage starts where a quarter of the template's bigrams, at least, lie at
+        the same distance from its start in the text as in the template.
+        """
+        spans = list(_WORD.finditer(text))
+        words = [m[0].lower() for m in spans]
+        grams, votes = list(zip(words, words[1:])), Counter()
+        for at, g in enumerate(grams):
+            for i, place in self.places.get(g, ()):
+                votes[i, at - place] += 1
+        found = []
+        for (i, start), n in votes.items():
+            name, _, m = self.templates[i]
+            if 4 * n >= m and (mine := grams[max(0, start) : start + m]):
+                dice = self._dice(i, Counter(mine), len(mine))
+                if dice >= self.least:
+                    found.append((-dice, max(0, start), i, max(0, start) + len(mine) + 1, name))
+        taken: list[tuple[int, int]] = []
+        for dice, start, _, end, name in sorted(found):
+            if all(end <= a or start >= b for a, b in taken):
+                taken.append((start, end))
+                yield text.count("\n", 0, spans[start].start()), name, -dice
+
+    def scan(self, text: str) -> Iterator[tuple[str, int, str, float]]:
+        """Unit, line, licence and Dice of all units; a passage is told only where no other unit of its line has the licence."""
+        told = set()
+        for unit, at, part in units(text):
+            if hit := self.best(part):
+                told.add(("document" if unit == "document" else at, hit[0]))
+                yield unit, at, *hit
+        for at, name, dice in self.passages(text):
+            if (at, name) not in told and ("document", name) not in told:
+                yield "passage", at, name, dice
+
 
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, unit, line_no, license, dice)`` for each unit that is like a template.
 
     line_no counts from 0. Null and empty texts have no units; null ids are kept;
-    repeated rows each report; an empty table gives no rows.
+    repeated rows each report; of templates with equal Dice the first in the list is
+    told; an empty table gives no rows. Other columns of ``docs`` are not read. Memory
+    of a task grows with its longest text, not with the number of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, least)
         for b in batches:
-            out = [(i, unit, at, *hit) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for unit, at, part in units(text or "") if (hit := matcher.best(part))]
-            cols = [(i, u, at, name, round(d, 6)) for i, u, at, name, d in out]
+            out = [(i, unit, at, name, round(dice, 6)) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for unit, at, name, dice in matcher.scan(text or "")]
             types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*cols)) or [()] * 5, types)], names=["doc_id", "unit", "line_no", "license", "dice"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], names=["doc_id", "unit", "line_no", "license", "dice"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, unit string, line_no int, license string, dice double")
