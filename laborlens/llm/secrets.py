@@ -9,14 +9,14 @@ offsets of the matches in code points.
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.llm.common import cut
 
-RULE_VERSION = "1"
-
-
 def any_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
@@ -27,6 +27,11 @@ ASSIGN = f"({_NAMES})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Runs are greedy, so a least length in the pattern drops the same matches as a test after it.
 KINDS = (("assign", ASSIGN), ("access", "AKIA[A-Z0-9]{16,}"), ("hex", "[0-9a-f]{24,}"))
 LEAST_VALUE = 6
+#: Names the rules: whatever changes them makes every blob unseen.
+RULE_VERSION = hashlib.sha256(repr((KINDS, LEAST_VALUE)).encode()).hexdigest()[:16]
+#: Findings of at most so many bytes are broadcast.
+BROADCAST_BYTES = 8 << 20
+LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, spans string"
 
 
 def _matches(text: Column, number: int, pattern: str) -> Column:
@@ -73,25 +78,53 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rule_vers
     fresh = unseen.select("blob", F.lit(rule_version).alias("rule_version")).join(found, "blob", "left").na.fill(0, counts).na.fill("", ["spans"])
     if ledger is not None:
         found = found.unionByName(known.select("blob", *counts, "spans"))
+    return report(versions, found, path_col, text_col), fresh
+
+
+def report(versions: DataFrame, found: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings by blob joined back to every row of ``versions``."""
+    counts = [f"n_{k}" for k, _ in KINDS]
+    paths = versions.select(F.col(path_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("blob"))
     # Joined on the reversed address, so that the findings are dealt anew and a hot blob may be split.
-    back = found.withColumn("bolb", F.reverse("blob")).drop("blob")
+    back = found.select(F.reverse("blob").alias("bolb"), *counts, "spans")
     out = paths.join(back, F.col("blob") == F.reverse("bolb"), "left").na.fill(0, counts).na.fill("", ["spans"])
-    return out.select("doc_id", "blob", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans"), fresh
+    return out.select("doc_id", "blob", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+def scan_with_ledger(versions: DataFrame, path: str, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The report of ``scan_history`` by a ledger that is kept as Parquet under ``path``.
+
+    Blobs that the ledger has under this rule version are not scanned again; the others
+    are scanned and appended, so that the next run over the same and new versions scans
+    the new ones only. A run that fails appends nothing, or all it found.
+    """
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException:  # no run before this one
+        ledger = None
+    _, fresh = scan_history(versions, ledger, path_col=path_col, text_col=text_col)
+    fresh.select(*(c.split()[0] for c in LEDGER.split(", "))).write.mode("append").parquet(path)
+    # Two runs at a time may append the same pairs.
+    known = spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob", "rule_version"])
+    return report(versions, known, path_col, text_col)
 
 
 def masked(docs: DataFrame, mask: str = "[secret]", text_col: str = "text") -> DataFrame:
     """``docs`` with every finding in its text replaced by ``mask``; texts without findings stay as they are, null included.
 
-    Findings that overlap are masked once. The findings are broadcast if they are
-    at most 100,000 blobs, else joined by a shuffle.
+    Findings that overlap are masked once. Each row travels as one struct, so that its
+    columns clash with none of the findings'. The findings are broadcast if they have
+    at most BROADCAST_BYTES bytes, else joined by a shuffle.
     """
     _, fresh = scan_history(docs, text_col=text_col)
-    found = cut(fresh.where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")))
-    found = F.broadcast(found) if found.count() <= 100_000 else found.hint("shuffle_hash")
-    rows = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    rows = rows.join(found, F.col("__key") == F.col("__blob"), "left")
-    text = F.col(text_col)
-    span = F.transform(F.split("__spans", ","), lambda x: F.transform(F.slice(F.split(x, ":"), 2, 2), lambda y: y.cast("int")))
+    found = cut(fresh.where("spans <> ''").select("blob", "spans"))
+    size = found.agg(F.sum(F.length("spans") + F.length("blob"))).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("shuffle_hash")
+    text = F.col("row").getField(text_col).cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.withColumn("key", F.sha2(F.coalesce(text, F.lit("")), 256)).join(found, F.col("key") == F.col("blob"), "left")
+    span = F.transform(F.split("spans", ","), lambda x: F.transform(F.slice(F.split(x, ":"), 2, 2), lambda y: y.cast("int")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -100,5 +133,5 @@ def masked(docs: DataFrame, mask: str = "[secret]", text_col: str = "text") -> D
         return F.struct(F.greatest(acc["at"], hi).alias("at"), F.when(lo >= acc["at"], fresh_).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(span, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    new = F.when(F.col("__spans").isNull(), text).otherwise(clean)
-    return rows.withColumn(text_col, new).select(docs.columns)
+    new = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    return rows.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
