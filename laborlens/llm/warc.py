@@ -58,9 +58,13 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, response: int | None) -> Iterator[bytes]:
-    """The records of a page: one revisit, or a response in as many segments as it needs."""
-    name = record_id(page_id, digest)
+def records(page_id: int | None, url: str | None, payload: bytes, digest: str, response: int | None, serial: int) -> Iterator[bytes]:
+    """The records of a page: one revisit, or a response in as many segments as it needs.
+
+    The serial keeps rows apart that repeat an id and a payload, so that each is put
+    together on its own; a revisit names its response without it.
+    """
+    name = f"{record_id(page_id, digest)}:{serial}"
     first = [("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
         first.append(("WARC-Target-URI", "".join(c for c in url if c not in "\r\n")))
@@ -84,14 +88,16 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     Null html is an empty payload. Of equal payloads of at least ``REVISIT_BYTES``
     the row with the largest id is the response and others revisit it; without any
-    id all are responses. Repeated rows are written each.
+    id all are responses. Repeated rows are written each; an empty table gives an
+    archive without records. A record is held in memory as a whole by the task that
+    writes or reads it, as its segments are by the task that puts them together.
     """
     html = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES)
     # Named by the reversed digest, so that the join deals both sides anew and a hot payload may be split.
     first = large.groupBy("digest").agg(F.max("page_id").alias("response")).select(F.reverse("digest").alias("tsegid"), "response")
-    rows = rows.join(first, F.col("digest") == F.reverse("tsegid"), "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("response")), None).otherwise(F.col("response")).alias("response"))
+    rows = rows.join(first, F.col("digest") == F.reverse("tsegid"), "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("response")), None).otherwise(F.col("response")).alias("response"), F.monotonically_increasing_id().alias("serial"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +138,7 @@ _TYPES = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.stri
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, record_type, refers_to, payload_digest, payload)`` of each response and revisit under ``path``.
 
-    A revisit has a null payload. A record whose segments are missing or do not
+    A revisit has a null payload; an archive without records gives no rows. A record whose segments are missing or do not
     add up, or whose payload has another digest, fails the job.
     """
     names = [x.split()[0] for x in _READ.split(", ")]
@@ -155,14 +161,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                copies = sum(p["number"] == 1 for p in parts)
-                by_number = {p["number"]: p for p in parts}
-                block = b"".join(by_number[i]["block"] for i in sorted(by_number))
-                total = max((p["total"] for p in parts if p["total"] is not None), default=None)
-                if sorted(by_number) != list(range(1, len(by_number) + 1)) or total != len(block):
-                    raise BrokenArchive(f"{name}: segments are missing or do not add up to {total} bytes")
-                digest = by_number[1]["digest"]
-                cols = ([name] * copies, ["response"] * copies, [None] * copies, [digest] * copies, [payload_of(block, digest)] * copies)
+                block = b"".join(p["block"] for p in parts)
+                if [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] != len(block):
+                    raise BrokenArchive(f"{name}: segments are missing, repeated or do not add up")
+                digest = parts[0]["digest"]
+                cols = ([name], ["response"], [None], [digest], [payload_of(block, digest)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 4 + (pa.binary(),))], names=["name", "kind", "refers", "digest", "payload"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
@@ -175,12 +178,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str, **columns) -> DataFrame:
-    """Write the pages to ``path``, read them back, and describe each: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``."""
+    """Write the pages to ``path``, read them back, and describe each: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
+
+    An empty table gives no rows; other columns of ``pages`` are not read.
+    """
     write_archive(pages, path, **columns)
     back = read_archive(pages.sparkSession, path)
     n = F.octet_length("payload").cast("long")
     responses = back.where("record_type = 'response'")
     told = responses.select("page_id", n.alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
-    first = responses.groupBy("name").agg(F.max(n).alias("payload_bytes")).select(F.reverse("name").alias("eman"), "payload_bytes")
+    first = responses.groupBy(F.substring_index("name", ":", 4).alias("name")).agg(F.max(n).alias("payload_bytes")).select(F.reverse("name").alias("eman"), "payload_bytes")
     revisits = back.where("record_type = 'revisit'").join(first, F.col("refers_name") == F.reverse("eman"))
     return told.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
