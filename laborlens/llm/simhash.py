@@ -105,36 +105,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, bucket_cap: int = 64, id_co
     roots = components(near_links(cut(prints), bucket_cap))
     labels = prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return each.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 3, bucket_cap: int = 64) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the row with the smallest doc_id stays.
-
-    Of rows that repeat that doc_id one stays. Of rows without id, one of each
-    fingerprint stays, unless a row with an id has that fingerprint.
-    """
-    named = docs.where("doc_id is not null")
-    found = cut(near_duplicates(docs, words, bucket_cap))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    stay = cut(stay)
-    kept = named.join(stay.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    again = stay.where("n > 1").select("doc_id")
-    if not again.isEmpty():
-        kept = kept.unionByName(named.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not found.where("doc_id is null and component_id is null").isEmpty():
-        free = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-        loose = docs.where("doc_id is null")
-        with_print = loose.withColumn("__h", F.sha2(F.coalesce("text", F.lit("")), 256))
-        reps = fingerprints_of(with_print).join(free, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("h").alias("__h")).select("__h")
-        kept = kept.unionByName(with_print.join(reps, "__h", "left_semi").dropDuplicates(["__h"]).drop("__h"))
-    return kept.select(docs.columns)
-
-
-def fingerprints_of(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(h, fingerprint)`` of rows told apart by a content hash ``__h`` instead of an id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"{fingerprint(t, words):016x}" for t in b.column(1).to_pylist()], pa.string())], names=["h", "fingerprint"])
-
-    return docs.select("__h", F.col("text").cast("string")).mapInArrow(run, "h string, fingerprint string")
