@@ -1 +1,18 @@
-SQL: dict[str, str] = {}
+"""SQL of the queries that it can express, in another way than the operators compute them: no segments, no histograms."""
+
+SQL = {
+    "op3_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+ r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS response FROM p)
+ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN response <> page_id THEN response END AS refers_to FROM r""",
+    "op10_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) >> 30 AS slot FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM d GROUP BY source),
+ l AS (SELECT *, 3 * source_size AS stop, CAST((SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER o, 0) AS DOUBLE) / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER o, 0)) AS level
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT source, source_size, least(CAST(stop AS DOUBLE), coalesce((SELECT arg_min(level, stop / w) FROM l WHERE level <= stop / w) * w, CAST(stop AS DOUBLE))) AS target FROM l),
+ n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times FROM t),
+ c AS (SELECT d.source, slot, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY slot) AS up_to FROM d GROUP BY d.source, slot),
+ e AS (SELECT c.source, min(slot) AS slot, arg_min(c.size, slot) AS size, arg_min(c.up_to - c.size, slot) AS below FROM c JOIN n ON n.source IS NOT DISTINCT FROM c.source WHERE c.up_to > n.target - n.times * n.source_size GROUP BY c.source)
+ SELECT d.doc_id, d.size, n.source_size, n.target, CAST(d.size * (n.times + CASE WHEN n.times < 3 AND (e.slot IS NULL OR d.slot < e.slot OR (d.slot = e.slot AND (n.target - n.times * n.source_size - e.below) * 2 > e.size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+ FROM d JOIN n ON n.source IS NOT DISTINCT FROM d.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM d.source""",
+}

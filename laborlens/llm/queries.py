@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from laborlens.llm import decontaminate, licenses, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, url_filter, warc
-from laborlens.llm.common import table
+from laborlens.llm.common import shared_dir, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +15,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_history(table(spark, sf_dir, "documents"))[0].drop("blob")
+    return secrets.scan_with_ledger(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/secret-ledger").drop("blob")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared}/warc-{uuid.uuid4().hex}")
+    return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

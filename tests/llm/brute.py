@@ -163,6 +163,53 @@ def targets(sizes):
     return out
 
 
+def url_verdicts(urls, purity, levels=12):
+    """Verdict of each URL: the rule's, else that of a tree of dictionaries, merged from the host down."""
+    told = [url(u) for u in urls]
+    leaves, of = {}, []
+    for host, path, rule, verdict in told:
+        for pattern in (r"(?<=/)[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?=/|$)", r"(?<=/)(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{8,}(?=/|$)", "[0-9]+"):
+            path = re.sub(pattern, "*", path)
+        segs = [x for x in path.split("/") if x]
+        segs = tuple(segs[: levels - 1] + (["/".join(segs[levels - 1 :])] if segs[levels - 1 :] else []))
+        of.append((host, segs))
+        n = leaves.setdefault((host, segs), [0, 0])
+        n[0] += rule is not None and verdict == "block"
+        n[1] += rule is not None
+    rejects = {}
+
+    def total(some):
+        return sum(leaves[x][0] for x in some), sum(leaves[x][1] for x in some)
+
+    def merge(some, depth):
+        branches = defaultdict(list)
+        for x in some:
+            branches[x[1][depth] if depth < len(x[1]) else ""].append(x)
+        pb, pl = total(some)
+        p = (pb + 1) / (pl + 2)
+        pooled = defaultdict(list)
+        for seg, group in branches.items():
+            b, n = total(group)
+            like = len(branches) > 1 and abs((b + 1) / (n + 2) - p) <= 1.96 * math.sqrt(p * (1 - p) * (1 / (n + 2) + 1 / (pl + 2)))
+            for x in group:
+                pooled["*" if like else seg].append(x)
+        for group in pooled.values():
+            ended = [x for x in group if depth >= len(x[1])]
+            more = [x for x in group if depth < len(x[1])]
+            if ended:
+                b, n = total(ended)
+                rejects.update(dict.fromkeys(ended, ((b + 1) / (n + 2) >= purity)))
+            if more:
+                merge(more, depth + 1)
+
+    hosts = defaultdict(list)
+    for x in leaves:
+        hosts[x[0]].append(x)
+    for group in hosts.values():
+        merge(group, 0)
+    return [verdict if rule is not None else "block" if rejects[x] else "allow" for (_, _, rule, verdict), x in zip(told, of)]
+
+
 def _xx(*values):
     """Spark's xxhash64 of strings, longs and ints, unsigned."""
     h = 42
@@ -202,3 +249,19 @@ def quality_scores(docs, labels, buckets=1 << 13, quantile=0.01, least=50, fixed
             lo = int(at)
             return got, passed[lo] + (at - lo) * (passed[min(lo + 1, len(passed) - 1)] - passed[lo])
     return scores(good), fixed
+
+
+def pairs(text):
+    w = re.findall(r"[^\W_]+", text.lower())
+    return list(zip(w, w[1:]))
+
+
+def license_units(text):
+    lines = text.split("\n")
+    out = [("line", i, x) for i, x in enumerate(lines) if x.strip()]
+    starts = [i for i, x in enumerate(lines) if x.strip() and (i == 0 or not lines[i - 1].strip())]
+    for i in starts:
+        end = next((j for j in range(i, len(lines)) if not lines[j].strip()), len(lines))
+        if end - i > 1:
+            out.append(("paragraph", i, " ".join(lines[i:end])))
+    return out + [("document", 0, text)] * (len(starts) > 1)

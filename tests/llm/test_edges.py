@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from laborlens.llm import decontaminate, licenses, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, url_filter, warc
+from laborlens.llm import decontaminate, licenses, mixing, near_copies, quality, secrets, simhash, substring_dedup, suffix_dedup, url_filter, warc
 from tests.llm import brute
 
 LONG = " ".join(f"word{i % 977} and{i}" for i in range(60_000))
@@ -24,7 +24,7 @@ ROWS = [
     (8, " \t\n\x0b ", "c"),
     (9, "x" * 5000, ""),
 ]
-CLASH = ("key", "count", "fp", "node", "spans", "size", "h", "k1", "k2", "times", "blob", "w", "quality_rules_", "target", "edge", "copies_")
+CLASH = ("key", "count", "fp", "node", "spans", "size", "h", "k1", "k2", "times", "blob", "w", "quality_rules", "row", "__key", "__blob", "__spans", "__h", "target", "edge", "copies_")
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,9 @@ def test_simhash(docs):
             assert r.fingerprint == f"{brute.fingerprint(dict(named)[r.doc_id]):016x}"
     assert {r.component_id for r in got if r.doc_id in (3, 4, 8)} == {3}
     assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
-    assert docs.columns == simhash.keep_one(docs).columns and simhash.keep_one(docs).where("doc_id = 1").count() == 1
+    kept = near_copies.keep_one(docs)
+    assert docs.columns == kept.columns and kept.where("doc_id in (1, 2)").count() == 1
+    assert kept.where("doc_id = 7").count() == 2  # one id, two texts
 
 
 def test_small_buckets_take_the_exact_way(spark):
@@ -65,7 +67,7 @@ def test_small_buckets_take_the_exact_way(spark):
     assert a == b and a
 
 
-def test_secrets(spark, docs):
+def test_secrets(spark, docs, tmp_path):
     got, fresh = secrets.scan_history(docs)
     rows = got.collect()
     assert len(rows) == len(ROWS)
@@ -76,6 +78,10 @@ def test_secrets(spark, docs):
     again, new = secrets.scan_history(docs, ledger=fresh)
     assert new.isEmpty() and sorted(map(str, again.collect())) == sorted(map(str, rows))
     clean = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    for _ in range(2):  # the second run finds every blob in the ledger
+        assert sorted(map(str, secrets.scan_with_ledger(docs, str(tmp_path / "ledger")).collect())) == sorted(map(str, rows))
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    assert ledger.count() == ledger.select("blob").distinct().count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert "hunter22x" not in clean[6] and "é" in clean[6] and clean[4] is None and secrets.masked(docs).columns == docs.columns
 
 
@@ -142,7 +148,7 @@ def test_empty_tables(docs, bench, labels, tmp_path):
     none = docs.limit(0)
     pages = none.selectExpr("doc_id AS page_id", "text AS url", "text AS html")
     results = [
-        simhash.near_duplicates(none), simhash.keep_one(none), secrets.scan_history(none)[0], secrets.masked(none), suffix_dedup.remove_repeats(none), decontaminate.contaminated(none, bench),
+        simhash.near_duplicates(none), near_copies.keep_one(none), secrets.scan_history(none)[0], secrets.masked(none), suffix_dedup.remove_repeats(none), decontaminate.contaminated(none, bench),
         decontaminate.cleaned(none, bench), quality.judge(none, labels), licenses.scan(none), substring_dedup.remove_repeats(none), url_filter.filter_urls(pages), mixing.mix(none),
         warc.round_trip(pages, str(tmp_path / "w")),
     ]
@@ -159,3 +165,74 @@ def test_words_that_collide_in_rolling_sums(spark, cap):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, bucket_cap=cap).collect()}
     assert got == {0: 0, 1: 0, 2: 50}
+
+
+def test_url_tree_on_long_paths(spark, monkeypatch):
+    """Verdicts of the method against a tree of dictionaries, where it rejects some."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: rng.choice("abcdefgh"[:n]) * 2
+    tail = lambda: "/".join(rng.choice((word(3), str(rng.randrange(999)), f"{rng.getrandbits(64):016x}", "0f8fad5b-d9cb-469f-a165-70867728950e")) for _ in range(rng.randrange(5)))
+    urls = [f"http://h{rng.randrange(200)}.com/{rng.choice(('de', 'de', 'de', 'de', 'de', 'fr', 'xx', word(8)))}/{word(2)}/{tail()}" for _ in range(1500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(url_filter, "LEVELS", 4)  # paths of five and six segments reach beyond
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, purity=0.6).collect()}
+    want = brute.url_verdicts(urls, 0.6, levels=4)
+    assert [got[i] for i in range(len(urls))] == want
+    assert sum(brute.url(u)[2] is None and v == "block" for u, v in zip(urls, want)) > 10
+
+
+def test_urls_without_labels(spark):
+    pages = spark.createDataFrame([(1, "http://b.net/a/1"), (2, "http://b.net/b"), (2, "http://b.net/b")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(pages).collect()] == ["allow"] * 3
+
+
+def wrapped(text, width=60, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for part in text.split("\n") for x in (textwrap.wrap(part, width) or [""]))
+
+
+def test_licenses(spark):
+    from laborlens.llm.license_texts import TEXTS
+
+    prose = "The tools here were collected by all of us over many years and are kept for those who come later. "
+    rows = [(n, f"Copyright (c) 2024 A. Person\n\n{wrapped(t, mark='# ')}\n\n{prose}", name) for n, (name, t) in enumerate(TEXTS)]
+    rows += [(100, prose + "Licensed under the Apache License, Version 2.0. " + prose, "Apache-2.0"), (101, "// SPDX-License-Identifier: Zlib\nint x;", "Zlib"), (102, None, None), (103, "", None), (104, prose * 40, None), (None, "Licensed under CC BY 4.0.", "CC-BY-4.0"), (105, LONG, None)]
+    docs = spark.createDataFrame([(i, t, "u") for i, t, _ in rows + rows[-5:]], "doc_id long, text string, unit string")
+    got = licenses.scan(docs).collect()
+    for i, _, name in rows:
+        assert (name in {r.license for r in got if r.doc_id == i}) == (name is not None), (i, name)
+    assert not [r for r in got if r.doc_id in (102, 103, 104, 105)] and [r.unit for r in got if r.doc_id is None] == ["line", "line"]
+    assert [(r.license, r.dice) for r in licenses.scan(docs.where("doc_id = 101"), templates=(("X", "a b c"), ("Y", "a b c"))).collect()] == []
+    tie = licenses.scan(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), templates=(("X", "a b c"), ("Y", "a b c"))).collect()
+    assert [(r.license, r.dice) for r in tie] == [("X", 1.0)]
+
+
+def test_passages_are_all_windows(spark):
+    """Against every run of as many words as a template has."""
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    templates = tuple((f"L{k}", " ".join(rng.choice(words) for _ in range(rng.randrange(8, 25)))) for k in range(6))
+    matcher = licenses.Matcher(templates)
+    hits = 0
+    for _ in range(200):
+        name, t = rng.choice(templates)
+        t = t.split()
+        t[rng.randrange(len(t))] = "changed"
+        text = " ".join([*rng.choices(words, k=20), *t, *rng.choices(words, k=20)])
+        w, best = text.split(), {}
+        for other, x in templates:
+            theirs, m = licenses.bigrams(x), len(x.split())
+            for at in range(len(w) - m + 1):
+                mine = licenses.bigrams(" ".join(w[at : at + m]))
+                dice = 2 * (mine & theirs).total() / (mine.total() + theirs.total())
+                if dice >= 0.8:
+                    best[other] = max(best.get(other, 0), dice)
+        got = list(matcher.passages(text))
+        assert best.get(name) is None or (name, round(best[name], 6)) in [(n, round(d, 6)) for _, n, d in got]
+        hits += name in best
+    assert hits > 100
