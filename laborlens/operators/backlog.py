@@ -36,6 +36,22 @@ def unmatched_terms(bodies: Column, postings: DataFrame, known: DataFrame, min_c
     return out if limit is None else out.orderBy(F.desc("n"), "term").limit(limit)
 
 
+def unmatched_tags(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """``(tag, matched, n)`` of the tags of ``(id, tag)``, lower case and trimmed; matched ones equal a name or alias, the one column of ``known``."""
+    counts = tags.select(F.lower(F.trim("tag")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    names = known.toDF("k").select(F.lower("k").alias("tag")).distinct().withColumn("hit", F.lit(True))
+    return counts.join(names, "tag", "left").select("tag", F.col("hit").isNotNull().alias("matched"), "n")
+
+
+def dictionary_recall(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """``(source, tags, matched, recall)`` of the tags of ``(source, tag)``."""
+    counts = tags.select("source", F.lower("tag").alias("tag")).groupBy("source", "tag").agg(F.count("*").alias("n"))
+    names = known.toDF("k").select(F.lower("k").alias("tag")).distinct().withColumn("hit", F.lit(True))
+    matched = F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0))
+    out = counts.join(names, "tag", "left").groupBy("source").agg(F.sum("n").alias("tags"), matched.alias("matched"))
+    return out.withColumn("recall", F.round(F.col("matched") / F.col("tags"), 4))
+
+
 def missing_logos(companies: DataFrame, sources: DataFrame, source: str, cutoff: str) -> DataFrame:
     """``(id, source_company_id)``: companies without logo, never checked or checked before the cutoff (ISO text); the smallest id of the source."""
     checked = F.get_json_object("raw_fields", "$.logo_checked_at")

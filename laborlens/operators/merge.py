@@ -74,3 +74,39 @@ def change_class(new: DataFrame, hashes: DataFrame, keys: Sequence[str], forced:
     same = F.col("content_hash").eqNullSafe(F.col("__was"))
     action = F.when(F.col("__was").isNull(), "inserted").when(same, "reextracted" if forced else "unchanged").otherwise("updated")
     return new.join(was, list(keys), "left").withColumn("action", action).drop("__was")
+
+
+def not_in(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key is none of the others, by the rules of SQL: a null among the others leaves none, and a null key stays only if there are no others."""
+    has_null = others.agg(F.count("*").alias("__n"), F.count_if(F.col(other_key).isNull()).alias("__nulls"))
+    kept = rows.join(others.select(F.col(other_key).alias(key)).distinct(), key, "left_anti").select(rows.columns)
+    return kept.join(F.broadcast(has_null)).where("__nulls = 0").where(F.col(key).isNotNull() | (F.col("__n") == 0)).select(rows.columns)
+
+
+def stale_chunks(stored: DataFrame, keep: DataFrame, keys: Sequence[str] = ("posting_id", "section", "seq")) -> DataFrame:
+    """Chunks that are stored and not among those to keep, by all their keys."""
+    return stored.join(keep.select(*keys), list(keys), "left_anti").select(stored.columns)
+
+
+def upsert_company_sources(old: DataFrame, new: DataFrame) -> DataFrame:
+    return upsert(old, new, ["source", "source_company_id"], ["company_id", "url"])
+
+
+def upsert_fields(old: DataFrame, new: DataFrame) -> DataFrame:
+    return upsert(old, new, ["code"], ["name", "sort_order"])
+
+
+def upsert_skills(old: DataFrame, new: DataFrame) -> DataFrame:
+    return upsert(old, new, ["name"], ["category", "is_ambiguous", "is_common"])
+
+
+def updated(rows: DataFrame, changes: DataFrame, keys: Sequence[str], where: Column | None = None) -> DataFrame:
+    """``rows`` with the columns of ``changes`` put in, nulls included, where the keys agree and ``where`` holds; nothing is inserted.
+
+    ``changes`` has each key once. Serves touched postings, new bodies and flags, fields, hashes and vectors.
+    """
+    names = [x for x in changes.columns if x not in keys]
+    new = changes.select(*keys, F.struct(*names).alias("__new"))
+    hit = F.col("__new").isNotNull() & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    out = rows.join(new, list(keys), "left")
+    return out.select(*(F.when(hit, F.col(f"__new.{x}")).otherwise(F.col(x)).alias(x) if x in names else F.col(x) for x in rows.columns))
