@@ -15,7 +15,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_with_ledger(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/secret-ledger").drop("blob")
+    """With a ledger of its own, so that every run scans whole texts; a job that is run again names a folder that stays."""
+    return secrets.scan_with_ledger(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}").drop("blob")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
