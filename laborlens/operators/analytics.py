@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.operators.filters import CAREER, DEMAND, STRICT, Scope, active, career_overlaps, postings, share, within
+from laborlens.operators.lookups import percent_rank
 from laborlens.sources.market import AS_OF, Market
 
 LOW_SAMPLE, LOW_WINDOW, SMOOTHING = 10, 100, 20
@@ -162,7 +163,7 @@ def related_skills(m: Market, text: str, scope: Scope = Scope(), grades=DEMAND,
 def company_top_skills(m: Market, company_ids, grades, top: int = 10) -> DataFrame:
     p = m.posting.where(F.col("company_id").isin(*company_ids)).select(F.col("id").alias("posting_id"), "company_id")
     whole = p.groupBy("company_id").agg(F.count("*").alias("whole"))
-    asked = m.posting_skill.where(F.col("requirement").isin(*grades)).join(F.broadcast(p), "posting_id").join(m.skill.select(F.col("id").alias("skill_id"), "name"), "skill_id")
+    asked = m.posting_skill.where(F.col("requirement").isin(*grades)).join(p, "posting_id").join(m.skill.select(F.col("id").alias("skill_id"), "name"), "skill_id")
     counts = asked.groupBy("company_id", "name").agg(F.countDistinct("posting_id").alias("postings")).join(whole, "company_id")
     return _top(counts, top, F.desc("postings"), F.asc("name"), by=("company_id",)).select("company_id", "rank", "name", "postings", share(F.col("postings"), F.col("whole")).alias("share"))
 
@@ -229,7 +230,7 @@ def similar_companies(m: Market, company_id: int, top: int = 5) -> DataFrame:
     mine = vectors.where(F.col("company_id") == company_id).select(F.col("v").alias("q"))
     near = vectors.where(F.col("company_id") != company_id).join(F.broadcast(mine)).join(m.company.select(F.col("id").alias("company_id")), "company_id", "left_semi")
     near = near.select("company_id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("likeness"))
-    near = near.withColumn("near", F.percent_rank().over(Window.orderBy("likeness"))).drop("likeness")
+    near = percent_rank(near, "likeness").select("company_id", F.col("percent_rank").alias("near"))
     # These four scalars say which parts are known for the target at all.
     flags = F.broadcast(stack.agg((F.count("*") > 0).alias("has_stack")).join(near.agg((F.count("*") > 0).alias("has_text"))))
     target = m.company.where(F.col("id") == company_id).select(F.col("employee_count").alias("e"), F.col("size_type").alias("s"))
