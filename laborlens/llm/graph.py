@@ -27,10 +27,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+#: Edges that a partition of a round holds at least, where there are so many.
+EDGES_A_PART = 50_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges (u, v)`` (long); root is the least node reachable.
 
-    Null ends and self loops are ignored; no edges give no rows.
+    Null ends and self loops are ignored; no edges give no rows. A round starts from
+    partitions of ``EDGES_A_PART`` edges or more, so that few edges don't cost a round
+    of shuffles with nearly empty files.
     """
     edges = cut(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
     # Which rows are there decides whether a round changed anything: count and an order-free digest.
@@ -39,7 +45,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen["n"]:
             break
-        edges = cut(_star(_star(edges, large=True), large=False))
+        dense = edges.coalesce(seen["n"] // EDGES_A_PART + 1)
+        edges = cut(_star(_star(dense, large=True), large=False))
         now = edges.agg(state.alias("x")).first()["x"]
         if now == seen:
             break
