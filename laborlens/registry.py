@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laborlens.plans import analytic, embedding, incremental, relational, text, updates
+from laborlens.plans import analytic, boards, embedding, incremental, relational, text, updates
 
-QUERIES = {**analytic.QUERIES, **relational.QUERIES, **text.QUERIES, **incremental.QUERIES, **embedding.QUERIES, **updates.QUERIES}
-SQL = {**analytic.SQL, **relational.SQL, **text.SQL, **incremental.SQL, **embedding.SQL, **updates.SQL}
+QUERIES = {**analytic.QUERIES, **relational.QUERIES, **text.QUERIES, **incremental.QUERIES, **embedding.QUERIES, **updates.QUERIES, **boards.QUERIES}
+SQL = {**analytic.SQL, **relational.SQL, **text.SQL, **incremental.SQL, **embedding.SQL, **updates.SQL, **boards.SQL}
