@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from laborlens.llm import decontaminate, licenses, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, url_filter, warc
+from laborlens.llm import collocations, decontaminate, fill_middle, licenses, mixing, quality, secrets, set_join, simhash, substring_dedup, suffix_dedup, url_filter, warc
 from laborlens.llm.common import shared_dir, table
 
 
@@ -51,10 +52,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = made.withColumn("restored", fill_middle.restore("output", "form"))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op4_suffix_array, op5_decontaminate, op6_quality, op7_licenses, op8_substrings, op9_urls, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_warc, op4_suffix_array, op5_decontaminate, op6_quality, op7_licenses, op8_substrings, op9_urls, op10_mixing, op11_jaccard_join, op12_collocations, op13_fill_middle, pipeline)}

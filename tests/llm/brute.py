@@ -265,3 +265,69 @@ def license_units(text):
         if end - i > 1:
             out.append(("paragraph", i, " ".join(lines[i:end])))
     return out + [("document", 0, text)] * (len(starts) > 1)
+
+
+def shingle_set(text, n=5):
+    w = words((text or "").translate(ASCII_LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+
+
+def jaccard_components(rows, percent=80):
+    """[(doc_id, set size, smallest id reachable)] in the order of the rows, by comparing all pairs of distinct sets."""
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    every = list(dict.fromkeys(s for s in sets if s))
+    parent = list(range(len(every)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(every):
+        for j in range(i):
+            n = len(a & every[j]) if min(len(a), len(every[j])) * 100 >= percent * max(len(a), len(every[j])) else 0
+            if n and 100 * n >= percent * (len(a) + len(every[j]) - n):
+                parent[top(i)] = top(j)
+    number = {s: n for n, s in enumerate(every)}
+    ids = defaultdict(list)
+    for (i, _), s in zip(rows, sets):
+        if s and i is not None:
+            ids[top(number[s])].append(i)
+    return [(i, len(s), min(ids[top(number[s])], default=None) if s else i) for (i, _), s in zip(rows, sets)]
+
+
+def collocations(rows, least=100, longest=5, best=2000):
+    """Rows of the contract from ``(lang, text)``, every phrase counted."""
+    n, f = Counter(), defaultdict(Counter)
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(ASCII_LOWER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        often = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        inside = {p[i : i + k] for p, a in often.items() for k in range(2, len(p)) for i in range(len(p) - k + 1) if a >= counts[p[i : i + k]]}
+        found = []
+        for p, a in often.items():
+            if p not in inside:
+                s, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-s, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, i, p.decode(), -a, x, y, n[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(found)[:best], 1)]
+    return sorted(out)
+
+
+def fill_middle(doc_id, text):
+    text = text or ""
+    h = hashlib.sha256(f"1:{'null' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[at : at + 8], 16) for at in (0, 8, 16, 24))
+    n = len(text)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = text[:a], text[a:b], text[b:]
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    if h4 % 100 < 20:
+        return n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}"
