@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.functions import dates, jsonld
+from laborlens.functions import dates, html, jsonld
 from laborlens.operators import backlog
 from laborlens.sources.market import Market, expanded
 from laborlens.streaming import crawl, windows
@@ -72,8 +72,8 @@ def job_pages(m: Market) -> DataFrame:
 
 
 def structured(m: Market) -> DataFrame:
-    rows = job_pages(m).select("id", jsonld.job_object(F.col("html")).alias("job"), jsonld.label_values("html").alias("v"))
-    return rows.select("id", F.get_json_object("job", "$.title").alias("title"), jsonld.salary_text(F.col("job")).alias("salary"), F.element_at("v", "지역").alias("location"), F.element_at("v", "제목").alias("label_title"))
+    rows = job_pages(m).select("id", html.body_of("html").alias("b"))
+    return rows.select("id", F.get_json_object("b.job", "$.title").alias("title"), jsonld.salary_text(F.col("b.job")).alias("salary"), F.element_at("b.labels", "지역").alias("location"), F.element_at("b.labels", "제목").alias("label_title"))
 
 
 def unseen(m: Market) -> DataFrame:

@@ -94,6 +94,11 @@ def embed_actions(m: Market) -> DataFrame:
     return chunks.embed_plan(stored, fresh).groupBy("action").agg(F.count("*").alias("n"))
 
 
+# Every tag, but those inside a line too, begins a line; what stands in boilerplate goes. No class or id of these pages is boilerplate's.
+_LINES = """regexp_split_to_array(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<footer.*$|<!--.*?-->', chr(10), 'gis'), '<[a-zA-Z/!][^>]*>', chr(10), 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[\\n\\r\\x0b\\x0c]')"""
+_PAGE_TEXT = f"""SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text, CAST(0 AS INT) AS images
+ FROM (SELECT page_id, i, trim(regexp_replace(line, '[ \\t\\x{{A0}}\\x{{200B}}]+', ' ', 'g')) AS line FROM (SELECT page_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM pages)) GROUP BY page_id"""
+
 TABLE = {
     "tx10_salary": (salary, f"""SELECT id, CASE k WHEN 0 THEN n WHEN 1 THEN n WHEN 3 THEN CASE WHEN n <= 10000 THEN n * 12 END END AS low, CASE k WHEN 0 THEN n + 500 WHEN 2 THEN n WHEN 3 THEN CASE WHEN n <= 10000 THEN n * 12 END END AS high,
  CASE k WHEN 0 THEN 'range' WHEN 1 THEN 'min_only' WHEN 2 THEN 'max_only' WHEN 3 THEN 'range' WHEN 4 THEN 'negotiable' ELSE 'unknown' END AS kind, CASE WHEN k <= 2 THEN 'annual' WHEN k = 3 THEN 'monthly' END AS period FROM ({_PAY})"""),
@@ -111,8 +116,11 @@ TABLE = {
  FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 4 <> 0) GROUP BY 1"""),
     "src2_json_list": (lambda m: payloads.listed(payloads.sample_lists(m)), "SELECT source, id AS source_job_id, title, location, career_min FROM job_posting"),
     "src3_json_detail": (lambda m: payloads.with_detail(payloads.listed(payloads.sample_lists(m)), payloads.sample_details(m)), "SELECT source, id AS source_job_id, title, CASE WHEN id % 3 = 0 THEN coalesce('D ' || location, location) ELSE location END AS location, career_min FROM job_posting"),
-    "tx15_page_text": (lambda m: payloads.page_text(m.view("pages")).selectExpr("page_id", "length(text) AS chars", "size(images) AS images"), None),
-    "snk3_bar_chart": (lambda m: charts.bar_chart(m.sql("SELECT requirement AS label, count(*) AS n FROM posting_skill GROUP BY 1"), "skills", "label", "n"), None),
+    "tx15_page_text": (lambda m: payloads.page_text(m.view("pages")).selectExpr("page_id", "text", "size(images) AS images"), _PAGE_TEXT),
+    "snk3_bar_chart": (
+        lambda m: charts.bar_chart(m.sql("SELECT requirement AS label, count(*) AS n FROM posting_skill GROUP BY 1"), "skills", "label", "n"),
+        """SELECT concat('{"type":"bar","title":"skills","data":[', string_agg(concat('{"label":"', label, '","value":', CAST(n AS VARCHAR), '}'), ',' ORDER BY label), ']}') AS payload FROM (SELECT requirement AS label, count(*) AS n FROM posting_skill GROUP BY 1)""",
+    ),
 }
 
 QUERIES = {k: (lambda f: lambda spark, sf_dir: f(Market(spark, sf_dir)))(f) for k, (f, _) in TABLE.items()}

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from laborlens.functions import html
 from laborlens.sources.market import Market
 
 LIST = "source STRING, jobs ARRAY<STRUCT<id: BIGINT, title: STRING, location: STRING, career_min: INT>>"
 DETAIL = "id BIGINT, location STRING, title STRING"
-# Elements that hold no content of a posting, and those that end a line.
-_DROPPED = frozenset(("script", "style", "noscript", "iframe", "nav", "aside", "footer"))
-_LINES = frozenset(("br", "p", "div", "li", "tr", "h1", "h2", "h3", "h4", "dt", "dd", "ul", "section", "article"))
-_VOID = frozenset(("br", "img", "hr", "input", "meta", "link"))
-MOST_IMAGES, LEAST_PIXELS = 5, 300
 
 
 def listed(lists: DataFrame) -> DataFrame:
@@ -45,48 +36,6 @@ def sample_details(m: Market) -> DataFrame:
     return m.posting.where("id % 3 = 0").select(F.to_json(F.struct("id", F.concat(F.lit("D "), "location").alias("location"))).alias("payload"))
 
 
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.text, self.images, self.skipped = [], [], []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _DROPPED:
-            self.skipped.append(tag)
-        if tag in _LINES:
-            self.text.append("\n")
-        if tag == "img" and not self.skipped:
-            a = {k: v or "" for k, v in attrs}
-            small = a.get("width", "").isdigit() and int(a["width"]) < LEAST_PIXELS
-            if a.get("src") and not small and not any(w in f"{a.get('src')} {a.get('class')} {a.get('alt')}".lower() for w in ("logo", "icon", "banner")):
-                self.images.append(a["src"])
-
-    def handle_endtag(self, tag):
-        if tag in self.skipped and tag not in _VOID:
-            while self.skipped.pop() != tag:
-                pass
-        if tag in _LINES:
-            self.text.append("\n")
-
-    def handle_data(self, data):
-        if not self.skipped:
-            self.text.append(data)
-
-
-def read_html(html: str | None) -> tuple[str, list[str]]:
-    """Lines of text, trimmed, blank ones left out, and the images of content."""
-    r = _Reader()
-    r.feed(html or "")
-    r.close()
-    lines = (" ".join(x.split()) for x in "".join(r.text).split("\n"))
-    return "\n".join(x for x in lines if x), list(dict.fromkeys(r.images))[:MOST_IMAGES]
-
-
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("images", ArrayType(StringType()))]))
-def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for b in pages:
-        yield pd.DataFrame([read_html(h) for h in b], columns=["text", "images"])
-
-
 def page_text(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("p", _parsed("html")).select("page_id", "p.text", "p.images")
+    """Lines of text, trimmed, blank ones and boilerplate left out, and the images of content."""
+    return pages.withColumn("p", html.text_of("html")).select("page_id", "p.text", "p.images")

@@ -83,8 +83,6 @@ def test_structured(spark):
     assert got == ["월 250만원", "4,100만원", None, None, None, None, None]
     assert jsonld.find_job(["{broken", '[{"@type": "A", "@graph": [{"@type": ["B", "JobPosting"], "x": 1}]}, {"@type": "JobPosting"}]'])["x"] == 1
     assert jsonld.find_job([]) is None
-    html = "<dl><dt>급여 :<dd>1 <button>x</button>만<dt>급여<dd>2</dl><table><tr><th>A<td><a>b</a>\n c</table><th>Z"
-    assert jsonld.read_pairs(html) == {"급여": "1 만", "A": "b c"} and jsonld.read_pairs(None) == {}
 
 
 def test_stamp(spark):

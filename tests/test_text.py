@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from laborlens.functions import skills, text
 from laborlens.operators.chunks import MAX_CHARS, MIN_TAIL, chunks, closing_hashes, long_split
-from laborlens.sources.payloads import read_html
+from laborlens.functions.html import BOILERPLATE, block_text, content_images
+from laborlens.functions.page import Page
 
 SALARY = [
     ("4,200 ~ 5,100 만원", (4200, 5100, "range", "annual")),
@@ -150,5 +151,6 @@ def test_hash_closes_only_when_all_is_embedded(spark):
 
 
 def test_html():
-    assert read_html("<nav>menu</nav><p>a<br>b</p><script>x</script><img src='i.png'><img src='logo.png'>") == ("a\nb", ["i.png"])
-    assert read_html(None) == ("", [])
+    page = Page("<nav>menu</nav><p>a<br>b</p><script>x</script><img src='i.png'><img src='logo.png'>").without(BOILERPLATE)
+    assert (block_text(page, 0), content_images(page, 0)) == ("a\nb", ["i.png"])
+    assert block_text(Page(None), 0) == ""
