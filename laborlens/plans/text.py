@@ -52,7 +52,7 @@ def bodies(m: Market) -> DataFrame:
     """A posting for each of posting_skill: its tags, and a body with one header for each grade below."""
     line = F.array_repeat(F.concat(F.col("name"), F.lit(" 개발 경험")), F.col("mentions").cast("int"))
     rows = m.posting_skill.join(m.skill.select(F.col("id").alias("skill_id"), "name"), "skill_id")
-    of = lambda g: F.flatten(F.collect_list(F.when(F.col("requirement") == g, line)))
+    of = lambda g: F.array_sort(F.flatten(F.collect_list(F.when(F.col("requirement") == g, line))))
     tags = F.flatten(F.collect_list(F.when(F.col("requirement") == "tag", F.array_repeat("name", F.col("mentions").cast("int")))))
     rows = rows.groupBy(F.col("posting_id").alias("id")).agg(tags.alias("tags"), *(of(g).alias(g) for g in ("body", "required", "preferred")))
     block = lambda h, g: F.concat(F.lit(h + "\n"), F.array_join(g, "\n"), F.lit("\n"))

@@ -80,15 +80,17 @@ def test_company_key(spark):
     ],
 )
 def test_mentions(body, want):
-    assert [m[0] for m in skills.AliasTree(KNOWN).in_body(body)] == want
+    assert [m[0] for m in skills.Matcher(KNOWN).in_bodies([body])[0]] == want
 
 
 def test_mentions_are_leftmost_longest():
     """Against every substring that is an alias and may stand where it stands."""
     rng = random.Random(1)
-    tree, names = skills.AliasTree([skills.Skill(i, (a,)) for i, a in enumerate(("a", "ab", "a b", "b+", "가", "가나", "+"))]), ("a", "ab", "a b", "b+", "가", "가나", "+")
+    tree, names = skills.Matcher([skills.Skill(i, (a,)) for i, a in enumerate(("a", "ab", "a b", "b+", "가", "가나", "+"))]), ("a", "ab", "a b", "b+", "가", "가나", "+")
     word = lambda c: c.isascii() and c.isalnum()
     hangul = lambda c: "가" <= c <= "힣"
+    texts = []
+    wanted = []
     for _ in range(300):
         s = "".join(rng.choice("aAb +가나 ") for _ in range(30))
         every = []
@@ -101,12 +103,20 @@ def test_mentions_are_leftmost_longest():
             if i >= at:
                 want.append((names.index(s[i:-j].lower()), i, -j))
                 at = -j
-        assert list(tree.mentions(s)) == want
+        texts.append(s)
+        wanted.append(want)
+    assert tree.mentions(texts) == wanted
+    long, shift, want = "".join(x + "|" for x in texts), 0, []
+    for x, w in zip(texts, wanted):
+        want += [(i, a + shift, b + shift) for i, a, b in w]
+        shift += len(x) + 1
+    assert tree.mentions([long, None, long]) == [want, [], want]  # pieces of a long text
+    assert skills.Matcher([]).mentions(["a", None]) == [[], []]
 
 
 def test_tags():
-    tree = skills.AliasTree(KNOWN)
-    assert tree.in_tag(" Ruby ") == [(1, 0, 6)] and [m[0] for m in tree.in_tag("Swift, dart")] == [5, 4] and tree.in_tag(None) == []
+    one, two, none = skills.Matcher(KNOWN).in_tags([" Ruby ", "Swift, dart", None])
+    assert one == [(1, 0, 6)] and [m[0] for m in two] == [5, 4] and none == []
 
 
 def test_grades(spark):
