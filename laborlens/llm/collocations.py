@@ -48,7 +48,7 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Dictio
             t = text.as_py().encode("utf-8", "surrogatepass")
             waiting[lang].append(t)
             sizes[lang] += len(t)
-            if sizes[lang] > 6 * _AT_ONCE:
+            if sizes[lang] > 3 * _AT_ONCE:
                 yield lang, _tokens(waiting.pop(lang))
                 sizes[lang] = 0
         for lang, some in waiting.items():
@@ -115,8 +115,11 @@ def _by_tables(docs: DataFrame, words: DataFrame, least: int, longest: int, most
 
         def count(batches: Iterator[pa.RecordBatch], before=before) -> Iterator[pa.RecordBatch]:
             def combined(parts: list[np.ndarray]) -> pa.RecordBatch:
-                pair, n = np.unique(np.concatenate(parts), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "f"])
+                every = np.concatenate(parts)
+                parts.clear()
+                every.sort()
+                at = np.flatnonzero(np.append(every[1:] != every[:-1], len(every) > 0))
+                return pa.RecordBatch.from_arrays([pa.array(every[at], pa.int64()), pa.array(np.diff(at, prepend=-1), pa.int64())], names=["pair", "f"])
 
             parts, held = [], 0
             for b in batches:
@@ -129,7 +132,7 @@ def _by_tables(docs: DataFrame, words: DataFrame, least: int, longest: int, most
                     held += len(both)
                     if held > 4 * _AT_ONCE:
                         yield combined(parts)
-                        parts, held = [], 0
+                        held = 0
             if parts:
                 yield combined(parts)
 

@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from laborlens.llm.common import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """Link every neighbour of a node to the least node of its neighbourhood.
 
     Large steps move the neighbours above a node, small steps those below it.
     Only minima are aggregated, so no neighbourhood is ever gathered in one place.
+    Few edges stay in the ``parts`` that they come in, one of which needs no shuffle.
     """
+    # Both directions come from one row, and not from a union, so that edges in one partition stay in it.
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
     if large:
-        sides = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e"))
     else:
-        sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).select(F.explode(F.array(pair("u", "v"), pair("u", "u"))).alias("e"))
+    sides = ends.select("e.u", "e.v")
     least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "w")
     joined = sides.join(least, sides["u"] == least["w"])
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = joined.where("v > u") if large else joined
+    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct()
 
 
 #: Edges that a partition of a round holds at least, where there are so many.
@@ -35,8 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges (u, v)`` (long); root is the least node reachable.
 
     Null ends and self loops are ignored; no edges give no rows. A round starts from
-    partitions of ``EDGES_A_PART`` edges or more, so that few edges don't cost a round
-    of shuffles with nearly empty files.
+    partitions of ``EDGES_A_PART`` edges or more; fewer edges than two of those make one
+    partition, whose rounds need no shuffle at all.
     """
     edges = cut(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct())
     # Which rows are there decides whether a round changed anything: count and an order-free digest.
@@ -45,12 +46,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen["n"]:
             break
-        dense = edges.coalesce(seen["n"] // EDGES_A_PART + 1)
-        edges = cut(_star(_star(dense, large=True), large=False))
+        parts = seen["n"] // EDGES_A_PART + 1
+        edges = cut(_star(_star(edges.coalesce(parts), True, parts), False, parts))
         now = edges.agg(state.alias("x")).first()["x"]
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    both = F.explode(F.array(*(F.struct(F.col(end).alias("node"), F.col("v").alias("root")) for end in ("u", "v"))))
+    return edges.select(both.alias("e")).select("e.*").distinct()

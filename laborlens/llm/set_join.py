@@ -34,14 +34,17 @@ from pyspark.sql import functions as F
 
 from laborlens.llm.common import cut
 from laborlens.llm.graph import components
-from laborlens.llm.near_copies import BITS, parity
 from laborlens.llm.windows import _mixed, apart, as_bytes, named
 
 WORDS, PERCENT = 5, 80
+#: Parity bits of a set, eight longs.
+BITS = 512
 #: Rounds in which long lists of candidates are compared with one leader each.
 LEADERS = 2
 #: Share of a set that the screen asks to be met twice: one in so many shingles.
 SCREEN = 10
+#: Names of nodes and pairs, of four longs each at most, that are broadcast at most.
+BROADCAST_NODES = 1_000_000
 #: Fragments of the global order: ranges of how often a shingle is met, each cut in two by hash.
 FRAGMENTS = (2, 3, 5, 17)
 _TIMES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, size=64, dtype=np.uint64) | np.uint64(1)
@@ -75,34 +78,117 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.nda
         yield from flush()
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` classes of hashes whether the set holds an odd number of them, as signed longs.
+
+    Elements that only one of two sets holds are all that can tell their bits apart, so
+    the bits that differ are never more than those elements.
+    """
+    odd = np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _least(n, percent: int):
     """The least overlap that a set of n shingles needs with a partner, in numbers or columns."""
     return -((-n * percent) // 100) if isinstance(n, int) else F.ceil(n * percent / F.lit(100)).cast("long")
 
 
-def _scanned(texts: DataFrame, words: int, percent: int, screen: int) -> DataFrame:
-    """``(k1, k2, doc_id, n, d1, d2, need, low)``: size and 128-bit digest of each row's set; its first shingles by hash once a task."""
+def _scanned(texts: DataFrame, words: int) -> DataFrame:
+    """``(k1, k2, doc_id, n, d1, d2)``: size and 128-bit digest of each row's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for b in batches:
-            rows = []
-            for grams in shingle_sets(b.column(3).to_pylist(), words):
-                n, digest = len(grams), xxhash.xxh3_128_intdigest(grams.tobytes())
-                low = None
-                if n and digest not in seen:
-                    seen.add(digest)
-                    low = grams[: n - _least(n, percent) + max(1, n // screen)].view(np.int64)
-                rows.append((n, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), max(1, _least(n, percent) // screen), low))
-            n, d1, d2, need, low = zip(*rows) if rows else ((),) * 5
-            columns = [pa.array(c, pa.int64()) for c in (n, d1, d2, need)] + [pa.array(low, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["k1", "k2", "doc_id", "n", "d1", "d2", "need", "low"])
+            rows = [(len(grams), *_digest(grams)) for grams in shingle_sets(b.column(3).to_pylist(), words)]
+            columns = zip(*rows) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=["k1", "k2", "doc_id", "n", "d1", "d2"])
+
+    return cut(texts.select("k1", "k2", "doc_id", "text").mapInArrow(scan, "k1 long, k2 long, doc_id long, n long, d1 long, d2 long"))
+
 
-    return cut(texts.select("k1", "k2", "doc_id", "text").mapInArrow(scan, "k1 long, k2 long, doc_id long, n long, d1 long, d2 long, need long, low array<long>"))
+def _digest(grams: np.ndarray) -> tuple[int, int]:
+    whole = xxhash.xxh3_128_intdigest(grams.tobytes())
+    return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _first(n: int, percent: int, screen: int) -> int:
+    """How many shingles the screen takes of a set of n."""
+    return n - _least(n, percent) + max(1, n // screen)
+
+
+def _hits(texts: DataFrame, words: int, percent: int, screen: int, buckets: int) -> DataFrame:
+    """``(d1, hits)``: how many of the first shingles of the sets with that digest are met twice, or more than that.
+
+    A task emits a set once. First shingles travel packed, in ``buckets`` ranges of their
+    hash; one that a task has met twice already travels once, so a common one is
+    no load for its bucket. Copies that two tasks met count as met twice, which only lets more sets through.
+    """
+    pivots = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+    names = ["bucket", "grams", "owner", "ids", "hits"]
+
+    def packed(group: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids = np.array([d for d, _ in group], dtype=np.int64)
+        grams, owner = np.concatenate([low for _, low in group]), np.repeat(np.arange(len(group)), [len(low) for _, low in group])
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        at = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        times = np.diff(np.append(at, len(grams)))
+        twice = np.repeat(times > 1, times)
+        own = np.bincount(owner[twice], minlength=len(group))
+        some = np.flatnonzero(own)
+        rows = [(int(ids[0]) % buckets, b"", b"", ids[some].tobytes(), own[some].astype(np.int64).tobytes())]
+        grams, owner = grams[at], np.where(times > 1, -1, owner[at])
+        edges = [0, *np.searchsorted(grams, pivots).tolist(), len(grams)]
+        for bucket, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if lo < hi:
+                here, index = np.unique(owner[lo:hi], return_inverse=True)
+                with_none = here[0] < 0
+                index = index - 1 if with_none else index
+                rows.append((bucket, grams[lo:hi].tobytes(), index.astype(np.int32).tobytes(), ids[here[1:] if with_none else here].tobytes(), None))
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, group, held = set(), [], 0
+        for b in batches:
+            for grams in shingle_sets(b.column(0).to_pylist(), words):
+                if len(grams) and (digest := _digest(grams)) not in seen:
+                    seen.add(digest)
+                    group.append((digest[0], grams[: _first(len(grams), percent, screen)]))
+                    held += len(group[-1][1])
+                    if held > 4 * _AT_ONCE:
+                        yield packed(group)
+                        group, held = [], 0
+        if group:
+            yield packed(group)
+
+    def met(table: pa.Table) -> pa.Table:
+        found, grams, owners = [], [], []
+        for g, o, i, h in zip(*(table[c].to_pylist() for c in names[1:])):
+            ids = np.frombuffer(i, dtype=np.int64)
+            if h is not None:
+                found.append((ids, np.frombuffer(h, dtype=np.int64)))
+            else:
+                at = np.frombuffer(o, dtype=np.int32)
+                grams.append(np.frombuffer(g, dtype=np.uint64))
+                owners.append((np.append(ids, 0)[at], at >= 0))
+        if grams:
+            all_grams = np.concatenate(grams)
+            order = np.argsort(all_grams, kind="stable")
+            same = all_grams[order][1:] == all_grams[order][:-1]
+            hit = (np.append(same, False) | np.append(False, same)) & np.concatenate([ok for _, ok in owners])[order]
+            found.append(np.unique(np.concatenate([d for d, _ in owners])[order][hit], return_counts=True))
+        columns = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["d1", "hits"])
+
+    sent = texts.select("text").mapInArrow(scan, "bucket int, grams binary, owner binary, ids binary, hits binary")
+    return sent.groupBy("bucket").applyInArrow(met, "d1 long, hits long").groupBy("d1").agg(F.sum("hits").alias("hits"))
 
 
 def _ranked(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``(node, n, bits, order)``: shingles that another node has too, in the global order, as ``array<struct<df,gram>>``."""
+    """``(node, n, bits, order, cuts)``: shingles that another node has too, in the global order, and where its fragments end there.
+
+    The order is by class of how often a shingle is met (``FRAGMENTS``), then by hash; each class is cut in two at hash 0.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,8 +196,11 @@ def _ranked(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([parity(x) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["node", "n", "bits", "grams"])
 
+    # Few nodes go to where the texts are; else the texts travel once.
+    hint = "broadcast" if nodes.count() <= BROADCAST_NODES else "shuffle_hash"
+
     def texts_of(some: DataFrame) -> DataFrame:
-        return texts.select("k1", "k2", "text").join(some.select("k1", "k2", "node").hint("shuffle_hash"), ["k1", "k2"]).select("node", "text")
+        return texts.select("k1", "k2", "text").join(some.select("k1", "k2", "node").hint(hint), ["k1", "k2"]).select("node", "text")
 
     chosen, again = texts_of(nodes.where("times = 1")), nodes.where("times > 1")
     if not again.isEmpty():
@@ -120,23 +209,38 @@ def _ranked(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     each = whole.select("node", F.explode("grams").alias("gram"))
     met = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(apart(met, "gram"), F.col("gram") == F.bitwise_not("not_gram"))
-    order = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order"))
+    seldom = sum((F.when(F.col("df") >= low, 1).otherwise(0) for low in FRAGMENTS[1:]), F.lit(0)).cast("byte")
+    order = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(seldom.alias("c"), "gram"))).alias("x"))
+
+    def below(i: int) -> Column:
+        """How many shingles stand before the end of a fragment."""
+        return F.size(F.filter("x", lambda y: (y["c"] < i // 2) | ((y["c"] == i // 2) & ((y["gram"] < 0) | F.lit(bool(i % 2))))))
+
+    order = order.select("node", F.transform("x", lambda y: y["gram"]).alias("order"), F.array(*(below(i) for i in range(2 * len(FRAGMENTS)))).alias("cuts"))
     return whole.select("node", "n", "bits").join(order, "node")
 
 
-def _may_link(percent: int) -> Column:
-    """Whether sizes, places in the order and parity bits of ``a`` and ``b`` leave room for a link."""
+def _room(percent: int) -> Column:
+    """Whether sizes and places in the order of ``a`` and ``b`` leave room for a link."""
     n, m = F.col("a.n"), F.col("b.n")
     most = F.least("a.place", "b.place") + F.least(n - F.col("a.place"), m - F.col("b.place"))
-    differ = [F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(BITS // 64)]
-    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    return sizes & (most * (100 + percent) >= (n + m) * percent) & (sum(differ[1:], differ[0]) * (100 + percent) <= (n + m) * (100 - percent))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most * (100 + percent) >= (n + m) * percent)
+
+
+def _alike(a: str, b: str, n: Column, percent: int) -> Column:
+    """Whether parity bits leave room for a link of sets of n shingles together."""
+    differ = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)]
+    return sum(differ[1:], differ[0]) * (100 + percent) <= n * (100 - percent)
 
 
 def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The links among ``pairs (u, v, nu, nv)``: overlaps counted by fragment and summed by pair."""
-    a, b = (fragments.select(F.col("node").alias(end), F.col("fragment").alias(f"f{end}"), F.col("grams").alias(f"g{end}")) for end in ("u", "v"))
-    parts = pairs.join(a, "u").withColumnRenamed("fu", "fv").join(b, ["v", "fv"])
+    """The links among ``pairs (u, v, nu, nv)``: overlaps counted by fragment and summed by pair; only fragments of their nodes travel."""
+    pairs = cut(pairs)
+    few = pairs.count() <= BROADCAST_NODES
+    here = F.broadcast if few else (lambda x: x)
+    wanted = [fragments.join(here(pairs.select(F.col(end).alias("node")).distinct()), "node", "left_semi") for end in ("u", "v")]
+    a, b = (w.select(F.col("node").alias(end), F.col("fragment").alias(f"f{end}"), F.col("grams").alias(f"g{end}")) for w, end in zip(wanted, ("u", "v")))
+    parts = here(pairs).join(a, "u").withColumnRenamed("fu", "fv").join(b, ["v", "fv"])
     both = parts.groupBy("u", "v", "nu", "nv").agg(F.sum(F.size(F.array_intersect("gu", "gv"))).alias("shared"))
     return both.where(F.col("shared") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent).select("u", "v")
 
@@ -146,38 +250,43 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
     ranked = cut(ranked)
     unique = F.col("n") - F.size("order")
     first = F.col("n") - _least(F.col("n"), percent) + 1 - unique
-    starts = ranked.where(first > 0).select("node", "n", "bits", unique.alias("unique"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("i", "x"))
-    starts = starts.select(F.col("x.gram").alias("key"), "node", "n", "bits", (F.col("unique") + F.col("i") + 1).alias("place"))
+    marks = ranked.select("node", "bits")
+    starts = ranked.where(first > 0).select("node", "n", unique.alias("unique"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("i", "x"))
+    starts = starts.select(F.col("x").alias("key"), "node", "n", (F.col("unique") + F.col("i") + 1).alias("place"))
     met = starts.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     keys = cut(starts.join(apart(met, "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key"))
     if keys.isEmpty():
         return None
 
-    def fragment(number: int) -> Column:
-        def inside(x: Column) -> Column:
-            return sum((F.when(x["df"] >= low, 2).otherwise(0) for low in FRAGMENTS[1:]), F.when(x["gram"] < 0, 0).otherwise(1)) == number
-
-        grams = F.transform(F.filter("order", inside), lambda x: x["gram"])
-        return F.struct(F.lit(number).alias("fragment"), grams.alias("grams"))
+    def fragment(i: int) -> Column:
+        start = F.col("cuts")[i - 1] if i else F.lit(0)
+        return F.struct(F.lit(i).alias("fragment"), F.slice("order", start + 1, F.col("cuts")[i] - start).alias("grams"))
 
     mine = ranked.join(keys.select("node").distinct(), "node", "left_semi")
-    cuts = F.explode(F.array(*(fragment(number) for number in range(2 * len(FRAGMENTS)))))
-    fragments = cut(mine.select("node", cuts.alias("x")).select("node", "x.*").where(F.size("grams") > 0))
+    cuts = F.explode(F.array(*(fragment(i) for i in range(2 * len(FRAGMENTS)))))
+    fragments = mine.select("node", cuts.alias("x")).select("node", "x.*").where(F.size("grams") > 0)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs (u, v, nu, nv)`` whose parity bits allow a link."""
+        a, b = (marks.select(F.col("node").alias(end), F.col("bits").alias(f"b{end}")) for end in ("u", "v"))
+        return pairs.join(a, "u").join(b, "v").where(_alike("bu", "bv", F.col("nu") + F.col("nv"), percent)).select("u", "v", "nu", "nv")
 
+    u_first = F.col("a.node") < F.col("b.node")
+    ends = [F.when(u_first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(x) for x, c in (("u", "node"), ("nu", "n"))] + [F.when(u_first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(x) for x, c in (("v", "node"), ("nv", "n"))]
     links, roots = None, None
     for turn in range(leaders + 1):
         mine = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n", "bits", "place")).alias("x")).where("r1 <> r2")
-        mine = cut(mine.join(apart(open_.select("key", "x"), "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key"))
+        open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n", "place")).alias("x")).where("r1 <> r2")
+        mine = mine.join(apart(open_.select("key", "x"), "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key")
         if turn < leaders:
-            a, b = mine.alias("a"), F.struct("x.*").alias("b")
-            pairs = a.select("a.*", b).where(F.col("root") != F.col("b.root")).select(F.struct("node", "n", "bits", "place").alias("a"), "b").where(_may_link(percent))
+            pairs = mine.where("root <> x.root").select(F.struct("node", "n", "place").alias("a"), F.col("x").alias("b")).where(_room(percent))
+            pairs = alike(pairs.select(*ends).distinct())
         else:  # the exact rest: lists by key, of which only pairs of two classes that pass the bounds come out
-            a, b = mine.drop("x").alias("a"), mine.drop("x").alias("b")
-            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent))
-        u_first = F.col("a.node") < F.col("b.node")
-        ends = [F.when(u_first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(x) for x, c in (("u", "node"), ("nu", "n"))] + [F.when(u_first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(x) for x, c in (("v", "node"), ("nv", "n"))]
-        found = cut(_verified(pairs.select(*ends).distinct(), fragments, percent))
+            mine = cut(mine.drop("x").join(marks, "node"))
+            a, b = mine.alias("a"), mine.alias("b")
+            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & u_first & (F.col("a.root") != F.col("b.root")) & _room(percent) & _alike("a.bits", "b.bits", F.col("a.n") + F.col("b.n"), percent))
+            pairs = pairs.select(*ends).distinct()
+        found = cut(_verified(pairs, fragments, percent))
         links = found if links is None else links.union(found)
         if turn < leaders:
             roots = cut(components(links))
@@ -194,15 +303,13 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     no rows. k1 and k2 name the row as ``windows.named`` does. A task holds the shingles of one text, and those in one Arrow batch.
     """
     texts = named(docs, id_col, text_col)
-    scanned = _scanned(texts, words, percent, screen)
-    low = scanned.where("low is not null").withColumn("r", F.monotonically_increasing_id())
-    each = low.select("r", F.explode("low").alias("gram"))
-    met = each.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
-    hits = each.join(apart(met, "gram"), F.col("gram") == F.bitwise_not("not_gram")).groupBy("r").agg(F.count("*").alias("hits"))
-    open_ = low.select("r", "need", "d1", "d2").join(hits, "r").where("hits >= need").select("d1", "d2").distinct()
-    rows = scanned.where("n > 0").groupBy("d1", "d2", "k1", "k2").agg(F.count("*").alias("times"), F.min("doc_id").alias("least"))
-    sets = rows.groupBy("d1", "d2").agg(F.min("least").alias("least"), F.min(F.struct("k1", "k2", "times")).alias("rep"))
-    nodes = cut(cut(sets.join(open_, ["d1", "d2"], "left_semi").select("d1", "d2", "rep.*")).withColumn("node", F.monotonically_increasing_id()))
+    scanned = _scanned(texts, words)
+    rows = scanned.where("n > 0").groupBy("d1", "d2", "k1", "k2").agg(F.count("*").alias("times"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    sets = rows.groupBy("d1", "d2").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.min(F.struct("k1", "k2", "times")).alias("rep"))
+    hits = _hits(texts, words, percent, screen, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    need = F.greatest(F.lit(1), F.floor(_least(F.col("n"), percent) / screen))
+    open_ = sets.join(hits, "d1").where(F.col("hits") >= need).select("d1", "d2", "rep.*")
+    nodes = cut(cut(open_).withColumn("node", F.monotonically_increasing_id()))
     links = None if nodes.isEmpty() else _links(_ranked(texts, nodes, words), percent, leaders)
     sets = sets.select("d1", "d2", "least")
     if links is not None:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from laborlens.llm import near_copies
+from laborlens.llm import near_copies, set_join
 from tests.llm.brute import words
 
 SF = "/root/testdata/sf0.01"
@@ -64,10 +64,10 @@ def rows():
     return out + [(5000 + n, edited(rng, large, 2)) for n in range(90)]
 
 
-@pytest.mark.parametrize("cap", [2, 16])
-def test_classes_are_those_of_all_pairs(spark, rows, cap):
+@pytest.mark.parametrize("leaders", [0, 2])
+def test_classes_are_those_of_all_pairs(spark, rows, leaders):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "body")
-    got = [r.doc_id for r in near_copies.keep_one(docs, bucket_cap=cap, text_col="body").collect()]
+    got = [r.doc_id for r in near_copies.keep_one(docs, leaders=leaders, text_col="body").collect()]
     assert sorted(got, key=by_id) == kept(rows)
 
 
@@ -78,8 +78,8 @@ def test_parity_bits_lose_no_link():
         for change in (0, 1, n // 9, n // 2):
             a = np.unique(rng.integers(0, 1 << 64, size=n, dtype=np.uint64))
             b = np.unique(np.concatenate((a[change:], rng.integers(0, 1 << 64, size=change // 2, dtype=np.uint64))))
-            x, y = (near_copies.parity(v).view(np.uint64) for v in (a, b))
-            assert len(x) == near_copies.BITS // 64
+            x, y = (set_join.parity(v).view(np.uint64) for v in (a, b))
+            assert len(x) == set_join.BITS // 64
             assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
 
 
@@ -96,3 +96,14 @@ def test_stage_drops_edited_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == kept(rows)
+
+
+def test_a_large_class_of_near_copies_is_whole(spark):
+    """Hundreds of texts round one, some of which are like no other but a few: classes by all pairs, none lost by leaders."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(130)]
+    rows = [(n, edited(rng, base, rng.choice((1, 2, 2, 3, 4)))) for n in range(500)]
+    far = [(1000 + n, edited(rng, rows[n][1].split(), 3)) for n in range(80)]
+    docs = spark.createDataFrame(rows + far, "doc_id long, text string")
+    got = [r.doc_id for r in near_copies.keep_one(docs).collect()]
+    assert sorted(got) == kept(rows + far) and 1 < len(got) < 400
