@@ -44,6 +44,8 @@ SAMPLE_DOCS = 5_000
 SAMPLE_TASKS = 8
 #: Items that one pass over the corpus looks for; a larger benchmark takes more passes, so that what tasks get stays bounded.
 ITEMS_A_PASS = 20_000
+#: Passages whose cosines with all items are in memory at a time.
+ROWS_AT_ONCE = 4096
 COSINE = 0.5
 SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 _SLOTS = 20
@@ -270,10 +272,13 @@ class Finder:
             for more in range(have, m):
                 z += sums[start + more]
             have = m
-            cos = (z @ self.model.vectors[chosen].T) / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            for w, i in zip(*np.nonzero(cos >= self.cosine)):
-                t = owner[w]
-                yield int(t), int(chosen[i]), int(start[w] - first[t]) * BLOCK, m * BLOCK, float(cos[w, i])
+            for lo in range(0, len(z), ROWS_AT_ONCE):
+                some = z[lo : lo + ROWS_AT_ONCE]
+                cos = (some @ self.model.vectors[chosen].T) / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-12)
+                for r, i in zip(*np.nonzero(cos >= self.cosine)):
+                    w = lo + r
+                    t = owner[w]
+                    yield int(t), int(chosen[i]), int(start[w] - first[t]) * BLOCK, m * BLOCK, float(cos[r, i])
 
     def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float, int]]:
         """Text, item, cosine, LCS and answer shares and first word: the best passage of each pair that is verified."""
@@ -320,8 +325,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
 
     Null and empty texts and items hold nothing. Null ids are kept, repeated rows
     each report, equal items report once each. An empty table or benchmark gives no
-    rows. Other columns are not read. Memory of a task grows with its longest text
-    times the items of a pass.
+    rows. Other columns are not read. Memory of a task grows with its longest text, and
+    with ``ROWS_AT_ONCE`` passages times the items of a pass.
     """
     rows = _rows(docs, id_col, text_col)
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, at int"

@@ -2,8 +2,7 @@
 
 A unit of text is normalised to lower-case words, so that comment markers and line
 breaks don't count. Units are lines, paragraphs of several lines, the whole text,
-and passages: runs of as many words as a template has, at the places where the text
-shares bigrams with it, so that a notice inside a longer line, or a licence that runs
+and passages: runs of words of any length that are like a template, so that a notice inside a longer line, or a licence that runs
 over several paragraphs among other text, is found too. Only templates whose number
 of bigrams allows the threshold are compared: Dice >= t needs n between t/(2-t) and
 (2-t)/t times the template's.
@@ -54,11 +53,7 @@ class Matcher:
         self.least = least
         self.templates = [(name, x := bigrams(text), x.total()) for name, text in templates]
         self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
-        self.places: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
-        for i, (name, text) in enumerate(templates):
-            words = _WORD.findall(text.lower())
-            for at, g in enumerate(zip(words, words[1:])):
-                self.places[g].append((i, at))
+        for i in range(len(self.templates)):
             for g in self.templates[i][1]:
                 self.having[g].append(i)
         sizes = [n for *_, n in self.templates] or [0]
@@ -88,28 +83,68 @@ class Matcher:
     def passages(self, text: str) -> Iterator[tuple[int, str, float]]:
         """First line, template and Dice of the best passages that don't overlap; a better one goes before, of equals the earlier.
 
-        A passage starts where a quarter of the template's bigrams, at least, lie at
-        the same distance from its start in the text as in the template.
+        A passage is a run of bigrams of any length, so words may be put in, left out
+        or changed anywhere. It begins and ends with a bigram of its template, for else a
+        shorter one would be better.
         """
         spans = list(_WORD.finditer(text))
         words = [m[0].lower() for m in spans]
-        grams, votes = list(zip(words, words[1:])), Counter()
-        for at, g in enumerate(grams):
-            for i, place in self.places.get(g, ()):
-                votes[i, at - place] += 1
+        hits: dict[int, list[tuple[int, tuple[str, str]]]] = defaultdict(list)
+        for at, g in enumerate(zip(words, words[1:])):
+            for i in self.having.get(g, ()):
+                hits[i].append((at, g))
         found = []
-        for (i, start), n in votes.items():
-            name, _, m = self.templates[i]
-            if 4 * n >= m and (mine := grams[max(0, start) : start + m]):
-                dice = self._dice(i, Counter(mine), len(mine))
-                if dice >= self.least:
-                    found.append((-dice, max(0, start), i, max(0, start) + len(mine) + 1, name))
+        for i, mine in hits.items():
+            found += ((-dice, start, i, end, self.templates[i][0]) for start, end, dice in self._runs(i, mine))
         taken: list[tuple[int, int]] = []
         for dice, start, _, end, name in sorted(found):
             if all(end <= a or start >= b for a, b in taken):
                 taken.append((start, end))
                 yield text.count("\n", 0, spans[start].start()), name, -dice
 
+    def _runs(self, i: int, hits: list[tuple[int, tuple[str, str]]]) -> Iterator[tuple[int, int, float]]:
+        """First word, end and Dice of the best run from each hit that reaches the threshold.
+
+        A run of n bigrams at the threshold t shares ``t (n + m) / 2`` with a template of m,
+        and n is at most ``longest``. So a window of m bigrams that holds the run, or
+        the first m of a longer one (which has ``n - m`` more), shares ``few`` at least. Such windows are
+        found by sliding one over the hits, a bigram in and out at a step; ends are tried only for hits before one.
+        """
+        _, theirs, m = self.templates[i]
+        longest = int(m * (2 - self.least) / self.least)
+        t = self.least
+        few = min(t / 2 * (1 + t / (2 - t)), 1 - (2 - 2 * t) / t) * m - 1e-9
+        if len(hits) < few:
+            return
+        near, have, shared, out = [], Counter(), 0, 0
+        for k, (at, g) in enumerate(hits):
+            have[g] += 1
+            shared += have[g] <= theirs[g]
+            while hits[out][0] <= at - m:
+                gone = hits[out][1]
+                shared -= have[gone] <= theirs[gone]
+                have[gone] -= 1
+                out += 1
+            if shared >= few:
+                near.append(at)
+        if not near:
+            return
+        k = 0
+        for first, (start, _) in enumerate(hits):
+            while k < len(near) and near[k] < start:
+                k += 1
+            if k == len(near) or near[k] > start + longest + m:
+                continue
+            have, shared, best = Counter(), 0, (0.0, 0)
+            for at, g in hits[first:]:
+                if at - start >= longest:
+                    break
+                have[g] += 1
+                shared += have[g] <= theirs[g]
+                best = max(best, (2 * shared / (at - start + 1 + m), -at))
+            if best[0] >= self.least:
+                yield start, -best[1] + 2, best[0]
+
     def scan(self, text: str) -> Iterator[tuple[str, int, str, float]]:
         """Unit, line, licence and Dice of all units; a passage is told only where no other unit of its line has the licence."""
         told = set()

@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: Parity bits of a set, eight longs.
 BITS = 512
 #: Rounds in which long lists of candidates are compared with one leader each.
-LEADERS = 2
+LEADERS = 4
 #: Share of a set that the screen asks to be met twice: one in so many shingles.
 SCREEN = 10
 #: Names of nodes and pairs, of four longs each at most, that are broadcast at most.
@@ -278,6 +278,9 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
         mine = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n", "place")).alias("x")).where("r1 <> r2")
         mine = mine.join(apart(open_.select("key", "x"), "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key")
+        if 0 < turn < leaders:  # a list of one class stays one
+            mine = cut(mine)
+            keys = mine.select("key", "node", "n", "place")
         if turn < leaders:
             pairs = mine.where("root <> x.root").select(F.struct("node", "n", "place").alias("a"), F.col("x").alias("b")).where(_room(percent))
             pairs = alike(pairs.select(*ends).distinct())

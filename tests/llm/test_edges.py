@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,8 +212,23 @@ def test_licenses(spark):
     assert [(r.license, r.dice) for r in tie] == [("X", 1.0)]
 
 
-def test_passages_are_all_windows(spark):
-    """Against every run of as many words as a template has."""
+def every_window(matcher, text):
+    """Best Dice of each template over all runs of bigrams, of any length."""
+    w = [x.lower() for x in licenses._WORD.findall(text)]
+    grams, best = list(zip(w, w[1:])), {}
+    for name, theirs, m in matcher.templates:
+        for a in range(len(grams)):
+            mine, shared = Counter(), 0
+            for b in range(a, min(len(grams), a + 3 * m)):
+                mine[grams[b]] += 1
+                shared += mine[grams[b]] <= theirs[grams[b]]
+                best[name] = max(best.get(name, 0), 2 * shared / (b - a + 1 + m))
+    return best
+
+
+@pytest.mark.parametrize("edit", ["change", "insert", "delete", "mixed"])
+def test_passages_are_all_windows(spark, edit):
+    """Against every run of words of every length, where words are changed, put in or left out."""
     import random
 
     rng = random.Random(6)
@@ -219,20 +236,45 @@ def test_passages_are_all_windows(spark):
     templates = tuple((f"L{k}", " ".join(rng.choice(words) for _ in range(rng.randrange(8, 25)))) for k in range(6))
     matcher = licenses.Matcher(templates)
     hits = 0
-    for _ in range(200):
+    for _ in range(120):
         name, t = rng.choice(templates)
         t = t.split()
-        t[rng.randrange(len(t))] = "changed"
+        for _ in range(rng.randrange(1, 4)):
+            at, how = rng.randrange(len(t)), rng.choice(("change", "insert", "delete")) if edit == "mixed" else edit
+            t[at : at + (how != "insert")] = [] if how == "delete" else ["new"]
         text = " ".join([*rng.choices(words, k=20), *t, *rng.choices(words, k=20)])
-        w, best = text.split(), {}
-        for other, x in templates:
-            theirs, m = licenses.bigrams(x), len(x.split())
-            for at in range(len(w) - m + 1):
-                mine = licenses.bigrams(" ".join(w[at : at + m]))
-                dice = 2 * (mine & theirs).total() / (mine.total() + theirs.total())
-                if dice >= 0.8:
-                    best[other] = max(best.get(other, 0), dice)
-        got = list(matcher.passages(text))
-        assert best.get(name) is None or (name, round(best[name], 6)) in [(n, round(d, 6)) for _, n, d in got]
+        best = {n: d for n, d in every_window(matcher, text).items() if d >= 0.8}
+        got = {}
+        for _, n, d in matcher.passages(text):
+            got[n] = max(got.get(n, 0), d)
+        if best:  # the best of all is told; others may overlap a better one
+            top = max(best.values())
+            assert max(got.values()) == pytest.approx(top) and all(best[n] >= d - 1e-9 for n, d in got.items())
+        else:
+            assert not got
         hits += name in best
-    assert hits > 100
+    assert hits > 20
+
+
+@pytest.mark.parametrize("extra", [1, 3, 5, 8])
+def test_licenses_with_words_put_in(extra):
+    """Words at even places of whole texts inside other prose: the licence, or one that is as near, is told."""
+    from laborlens.llm.license_texts import TEMPLATES, TEXTS
+
+    matcher = licenses.Matcher(TEMPLATES)
+    prose = "The tools here were collected by all of us over many years and are kept for those who come later. "
+    for name, t in TEXTS:
+        w = t.split()
+        if len(w) < 12 * (extra + 1):
+            continue
+        for k in range(extra, 0, -1):
+            w.insert(k * len(w) // (extra + 1), f"added{k}")
+        got = {n: d for _, n, d in matcher.passages(prose * 3 + " ".join(w) + " " + prose * 3)}
+        assert name in got and got[name] >= 0.85, (name, extra, got)
+
+
+def test_licenses_in_a_very_long_text():
+    from laborlens.llm.license_texts import TEMPLATES, TEXTS
+
+    text = (LONG + " ") * 4 + TEXTS[0][1] + " " + LONG
+    assert {n for _, n, _ in licenses.Matcher(TEMPLATES).passages(text)} == {TEXTS[0][0]}
