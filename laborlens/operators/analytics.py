@@ -31,9 +31,10 @@ def _top(df: DataFrame, n: int, *order: Column, by: tuple[str, ...] = (), rank:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def data_coverage(m: Market, as_of: str = AS_OF) -> DataFrame:
+def data_coverage(m: Market, as_of: str = AS_OF, runs: DataFrame | None = None) -> DataFrame:
+    """One row; with ``runs (kind, finished_at)`` also when the last crawl ended."""
     p, disclosed = m.posting, F.col("salary_type").isin("range", "min_only", "max_only")
-    return p.agg(
+    out = p.agg(
         F.min("posted_at").cast("date").cast("string").alias("first_day"),
         F.max("posted_at").cast("date").cast("string").alias("last_day"),
         F.count("*").alias("total"),
@@ -43,6 +44,17 @@ def data_coverage(m: Market, as_of: str = AS_OF) -> DataFrame:
         F.count_if(F.col("field_id").isNull()).alias("unclassified"),
         F.countDistinct("company_id").alias("companies"),
     )
+    if runs is None:
+        return out
+    last = runs.where(F.col("kind") == "crawl").agg(F.date_format(F.max("finished_at"), "yyyy-MM-dd HH:mm:ss").alias("last_crawl"))
+    return out.join(F.broadcast(last))  # one row by one row
+
+
+def coverage_breakdown(m: Market) -> DataFrame:
+    """Rows (kind, key, n): postings by field, and links of skills by requirement; every fact table is scanned once."""
+    by_field = m.posting.groupBy("field_id").agg(F.count("*").alias("n")).join(m.field.select(F.col("id").alias("field_id"), "code"), "field_id")
+    grades = m.posting_skill.groupBy("requirement").agg(F.count("*").alias("n"))
+    return by_field.select(F.lit("field").alias("kind"), F.col("code").alias("key"), "n").union(grades.select(F.lit("requirement"), "requirement", "n"))
 
 
 def popular_skills(m: Market, scope: Scope = Scope(days=30), top: int = 20, common: bool = False) -> DataFrame:
@@ -63,23 +75,20 @@ def resolve_skill_name(m: Market, text: str) -> DataFrame:
 
 
 def skill_demand(m: Market, text: str) -> DataFrame:
-    """Rows (kind, key, n) for one skill: total, by field, size, overlapping career level and grade."""
+    """Rows (kind, key, n) for one skill: total, by field, size, overlapping career level and grade.
+
+    A posting is read once and counts under each of its keys.
+    """
     one = resolve_skill_name(m, text).select(F.col("id").alias("skill_id"))
     asked = m.posting_skill.where(F.col("requirement").isin(*DEMAND)).join(F.broadcast(one), "skill_id", "left_semi")
     p = asked.join(m.posting.withColumnRenamed("id", "posting_id"), "posting_id")
-    n = F.countDistinct("posting_id").alias("n")
-    levels = F.explode(F.filter(F.array(*(F.when(career_overlaps(c), F.lit(c)) for c in CAREER)), lambda x: x.isNotNull()))
-    parts = (
-        p.agg(n).select(F.lit("total").alias("kind"), F.lit("").alias("key"), "n"),
-        p.join(m.field.select(F.col("id").alias("field_id"), "code"), "field_id").groupBy("code").agg(n).select(F.lit("field"), "code", "n"),
-        p.join(m.company.select(F.col("id").alias("company_id"), "size_type"), "company_id").groupBy("size_type").agg(n).select(F.lit("size"), "size_type", "n"),
-        p.select("posting_id", levels.alias("level")).groupBy("level").agg(n).select(F.lit("career"), "level", "n"),
-        p.groupBy("requirement").agg(F.count("*").alias("n")).select(F.lit("grade"), "requirement", "n"),
-    )
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
+    p = p.join(m.field.select(F.col("id").alias("field_id"), "code"), "field_id", "left").join(m.company.select(F.col("id").alias("company_id"), "size_type"), "company_id", "left")
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    levels = [key("career", F.when(career_overlaps(c), F.lit(c))) for c in CAREER]
+    keys = F.array(key("total", F.lit("")), key("field", F.col("code")), key("size", F.col("size_type")), *levels, key("grade", F.col("requirement")))
+    counts = p.select("posting_id", F.explode(F.filter(keys, lambda x: x["key"].isNotNull())).alias("k")).groupBy("k.kind", "k.key").agg(F.countDistinct("posting_id").alias("n"))
+    none = one.agg(F.lit("total").alias("kind"), F.lit("").alias("key"), F.lit(0).cast("long").alias("n"))  # the total of a skill that nobody asks for
+    return counts.union(none).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def rising_skills(m: Market, recent: tuple[str, str], previous: tuple[str, str], min_count: int = 5, min_volume: int = 20, top: int = 10) -> DataFrame:
@@ -204,7 +213,7 @@ def stack_cosine(m: Market, company_id: int) -> DataFrame:
     """(company_id, stack, shared): cosine of skill counts with one company, and the five names that add most."""
     asked = m.posting_skill.where(F.col("requirement").isin(*DEMAND)).join(m.posting.select(F.col("id").alias("posting_id"), "company_id"), "posting_id")
     skills = m.skill.where(~F.col("is_common")).select(F.col("id").alias("skill_id"), "name")
-    n = asked.join(F.broadcast(skills), "skill_id").groupBy("company_id", "skill_id", "name").agg(F.countDistinct("posting_id").alias("n"))
+    n = asked.join(skills, "skill_id").groupBy("company_id", "skill_id", "name").agg(F.countDistinct("posting_id").alias("n"))
     norms = n.groupBy("company_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     mine = n.where(F.col("company_id") == company_id).select("skill_id", F.col("n").alias("mine"))
     norm = norms.where(F.col("company_id") == company_id).select(F.col("norm").alias("my_norm"))
@@ -270,17 +279,26 @@ def resolve_skill(m: Market, vec_id: int, top: int = 5) -> DataFrame:
     return nearest(s, query_vector(m, vec_id), top, "id").select("id", "name", "similarity")
 
 
-def search_companies(m: Market, vec_id: int, size_type: str | None = None, top: int = 10) -> DataFrame:
+def search_companies(m: Market, vec_id: int, size_type: str | None = None, top: int = 10, field: str | None = None) -> DataFrame:
+    """Companies by likeness; with a field only those that have a posting in it, whatever its age."""
     c = m.company if size_type is None else m.company.where(F.col("size_type") == size_type)
+    if field is not None:
+        c = c.join(postings(m, Scope(field=field)).select(F.col("company_id").alias("id")), "id", "left_semi")
     c = c.select("id", "name", F.left(F.coalesce(described("description"), described("business_content"), F.lit("")), F.lit(200)).alias("evidence"))
     counts = m.posting.groupBy("company_id").agg(F.count("*").alias("postings"))
     hits = nearest(c.join(m.vectors, F.col("id") == F.col("vec_id")).select("id", "name", "evidence", "embedding"), query_vector(m, vec_id), top, "id")
     return hits.join(counts, F.col("id") == F.col("company_id"), "left").select("id", "name", "evidence", "similarity", F.coalesce("postings", F.lit(0)).alias("postings"))
 
 
-def search_postings(m: Market, vec_id: int, section: int | None = None, top: int = 10, active_only: bool = True) -> DataFrame:
-    """Four times as many chunks as wanted, then the best of each company and title, then the wanted number."""
-    p = m.posting.where(active()) if active_only else m.posting
+def search_postings(m: Market, vec_id: int, section: int | None = None, top: int = 10, active_only: bool = True, field: str | None = None, career_max: int | None = None) -> DataFrame:
+    """Four times as many chunks as wanted, then the best of each company and title, then the wanted number.
+
+    ``career_max`` keeps postings that ask for so many years at most; those that name no least ask for none.
+    """
+    p = postings(m, Scope(field=field))
+    p = p.where(active()) if active_only else p
+    if career_max is not None:
+        p = p.where(F.coalesce("career_min", F.lit(0)) <= career_max)
     chunks = m.vectors.withColumn("section", F.col("label") % 3)
     if section is not None:
         chunks = chunks.where(F.col("section") == section)
@@ -290,17 +308,61 @@ def search_postings(m: Market, vec_id: int, section: int | None = None, top: int
     return best.drop("r").orderBy(F.desc("similarity"), "id").limit(top)
 
 
-def skill_gap(m: Market, owned: list[str], scope: Scope = Scope(days=90), top: int = 15) -> DataFrame:
-    """Strictly asked skills with whether they are owned; coverage is the owned share of the mass within the limit."""
-    mine = m.skill.where(F.lower("name").isin(*(x.lower() for x in owned))).select(F.col("id").alias("skill_id"), F.lit(True).alias("owned"))
-    counts = _demand(m, scope, STRICT).groupBy("skill_id", "name").agg(F.countDistinct("posting_id").alias("postings"))
-    counts = _top(counts, top + len(owned), F.desc("postings"), F.asc("name"), rank="r").join(F.broadcast(mine), "skill_id", "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
+def resolved_names(m: Market, names: list[str]) -> DataFrame:
+    """``(raw, skill_id, name)`` for each name asked for: what ``resolve_skill_name`` gives, or nulls where it is unknown."""
+    asked = m.spark.createDataFrame([(n,) for n in names], "raw string")
+    s = m.skill.join(m.alias, F.col("id") == F.col("skill_id"), "left")
+    low = F.lower("raw")
+    hit = (F.lower("name") == low) | (~F.col("case_sensitive") & (F.lower("alias") == low)) | (F.col("case_sensitive") & (F.col("alias") == F.col("raw")))
+    # The dictionary is small by nature, and so is what a person names; neither is a table of facts.
+    found = asked.join(s, hit).groupBy("raw").agg(F.min(F.struct("id", "name")).alias("x"))
+    return asked.join(found, "raw", "left").select("raw", F.col("x.id").alias("skill_id"), F.col("x.name").alias("name"))
+
+
+def _gap(m: Market, names: list[str], scope: Scope, top: int, company_ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts of strictly asked skills, as many as the limit and the names, with who is owned; and how many postings were looked at."""
+    asked = _demand(m, scope, STRICT)
+    if company_ids:
+        asked = asked.where(F.col("company_id").isin(*company_ids))
+    mine = resolved_names(m, names).where("skill_id is not null").select("skill_id", F.lit(True).alias("owned")).distinct()
+    counts = asked.groupBy("skill_id", "name").agg(F.countDistinct("posting_id").alias("postings"))
+    counts = _top(counts, top + len(names), F.desc("postings"), F.asc("name"), rank="r").join(F.broadcast(mine), "skill_id", "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
+    limit = F.broadcast(mine.agg((F.count("*") + top).alias("most")))
+    counts = counts.join(limit).where(F.col("r") <= F.col("most")).drop("r", "most")
     every = Window.partitionBy()
     mass = F.sum(F.when(F.col("owned"), F.col("postings")).otherwise(0)).over(every)
-    counts = counts.withColumn("coverage", share(mass, F.sum("postings").over(every)))
+    return counts.withColumn("coverage", share(mass, F.sum("postings").over(every))), asked.agg(F.countDistinct("posting_id").alias("analyzed"))
+
+
+def skill_gap(m: Market, owned: list[str], scope: Scope = Scope(days=90), top: int = 15) -> DataFrame:
+    """Strictly asked skills with whether they are owned; coverage is the owned share of the mass within the limit."""
+    counts, _ = _gap(m, owned, scope, top)
     return counts.orderBy("owned", F.desc("postings"), "name").limit(top).select("name", "postings", "owned", "coverage")
 
 
+def missing_skills(m: Market, owned: list[str], scope: Scope = Scope(days=90), top: int = 15, company_ids: list[int] | None = None) -> DataFrame:
+    """The asked skills that are not owned, ranked, with their share of the postings looked at (of some companies only, if given)."""
+    counts, analyzed = _gap(m, owned, scope, top, company_ids)
+    ranked = _top(counts.where("not owned"), top, F.desc("postings"), F.asc("name"))
+    return ranked.join(F.broadcast(analyzed)).select("rank", "name", "postings", share(F.col("postings"), F.col("analyzed")).alias("share"), "analyzed", "coverage")
+
+
+def company_verdict(m: Market, text: str) -> DataFrame:
+    """``(status, company_id, name, postings)``: one row ``found``, the candidates as ``ambiguous``, or one row ``not_found``.
+
+    Of the look-up's 20 companies the first whose whole name was given is found, or the only one.
+    """
+    needle = text.strip().lower()
+    hits = company_lookup(m, text) if needle else company_lookup(m, text).limit(0)
+    w = Window.partitionBy()
+    exact = F.when(F.lower(F.trim("name")) == needle, F.struct(-F.col("postings"), "name", "id"))
+    told = hits.withColumn("first", F.min(exact).over(w)).withColumn("n", F.count("*").over(w))
+    mine = F.col("first").isNotNull() & (F.col("first.id") == F.col("id"))
+    told = told.where(F.col("first").isNull() | mine).select(F.when(F.col("first").isNotNull() | (F.col("n") == 1), "found").otherwise("ambiguous").alias("status"), F.col("id").alias("company_id"), "name", "postings")
+    one = m.spark.range(1).select(F.lit(1).alias("x"))
+    return one.join(told.withColumn("x", F.lit(1)), "x", "left").select(F.coalesce("status", F.lit("not_found")).alias("status"), "company_id", "name", "postings")
+
+
 def roadmap_demand(m: Market, field: str | None = None, days: int = 90, top: int = 15) -> DataFrame:
     """Demand of the window over all its postings; with a field only skills of that field."""
     asked = _demand(m, Scope(field=field, days=days))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laborlens.functions import embedding
 from laborlens.operators.filters import DEMAND, moment, within
 from laborlens.sources.market import AS_OF, Market
 
@@ -152,6 +153,12 @@ def valid_vectors(vectors: DataFrame, dims: int, expected: DataFrame, key: str =
     return rows.where(missing.isNull()).select(vectors.columns)
 
 
+def weak_vectors(vectors: DataFrame, dims: int, least_norm: float = 0.5, key: str = "id") -> DataFrame:
+    """``(key, fault)`` of stored vectors that no search should meet: ``missing``, of another ``size``, or with too small a ``norm``."""
+    fault = F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != dims, "size").when(~F.coalesce(embedding.norm(F.col("embedding")) >= least_norm, F.lit(False)), "norm")
+    return vectors.select(key, fault.alias("fault")).where("fault is not null")
+
+
 # Crawling
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.sources import boards
+from laborlens.sources import boards, kept, payloads
+from laborlens.sources.folders import fresh_folder
 from laborlens.sources.market import Market, expanded
 
 _URL = "https://board.example/jobs/{}"
@@ -55,6 +56,14 @@ def snapshots(m: Market) -> DataFrame:
     return m.sql("SELECT 'site_b' AS source, 'position' AS kind, CAST(user_id AS STRING) AS name, CAST(event_id AS STRING) AS payload, ts AS fetched_at FROM events")
 
 
+def kept_lists(m: Market) -> DataFrame:
+    """List answers kept as files and read back: those of one site from the fifth on, and what is in them."""
+    ranked = payloads.sample_lists(m).withColumn("source", F.get_json_object("payload", "$.source")).withColumn("number", F.get_json_object("payload", "$.jobs[0].id").cast("long"))
+    folder = fresh_folder(m.spark, "bronze")
+    kept.keep(ranked.select("source", F.lit("list").alias("kind"), "number", "payload"), folder)
+    return payloads.listed(kept.answers(m.spark, folder, source="site_a", kind="list", first=500))
+
+
 def replay(m: Market) -> DataFrame:
     """Two kept answers of each posting, of which the newer is that of ``details``."""
     new = details(m).select(F.lit("site_b").alias("source"), F.lit("position").alias("kind"), F.col("source_job_id").alias("name"), "payload", F.lit(2).alias("fetched_at"))
@@ -73,6 +82,7 @@ TABLE = {
     "src5_json_detail_merged": (json_detail, _DETAIL),
     "src9_latest_snapshot": (lambda m: boards.latest(snapshots(m)).select("name", "payload"), """SELECT name, payload FROM (SELECT CAST(user_id AS VARCHAR) AS name, CAST(event_id AS VARCHAR) AS payload,
  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS r FROM events) WHERE r = 1"""),
+    "src9_kept_lists": (kept_lists, "SELECT source, id AS source_job_id, title, location, career_min FROM (SELECT *, min(id) OVER (PARTITION BY source, id // 50) AS first_of FROM job_posting) WHERE source = 'site_a' AND first_of >= 500"),
     "src10_replay": (replay, _DETAIL),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laborlens.operators import backlog, filters, lookups, merge
+from laborlens.operators import backlog, filters, lookups, merge, report
 from laborlens.operators.filters import moment
 from laborlens.sources import payloads
 from laborlens.sources.market import AS_OF, Market, expanded
@@ -120,6 +120,12 @@ FORMS = {
         _report_facts,
         f"WITH c AS (SELECT s.name, count(DISTINCT CASE WHEN p.posted_at >= TIMESTAMP '2001-06-18 00:00:00' THEN p.id END) AS cur, count(DISTINCT CASE WHEN p.posted_at < TIMESTAMP '2001-06-18 00:00:00' THEN p.id END) AS prev FROM posting_skill ps JOIN job_posting p ON p.id = ps.posting_id JOIN skill s ON s.id = ps.skill_id WHERE ps.requirement IN {_D} AND p.posted_at >= TIMESTAMP '2001-06-11 00:00:00' AND p.posted_at < TIMESTAMP '2001-06-25 00:00:00' GROUP BY 1) SELECT row_number() OVER (ORDER BY cur DESC, name) AS rank, name, cur, prev, cur - prev AS change, CASE WHEN prev > 0 THEN round((cur - prev) / CAST(prev AS DOUBLE), 4) END AS rate, CASE WHEN prev = 0 THEN 'new' WHEN cur > prev THEN 'up' WHEN cur < prev THEN 'down' ELSE 'same' END AS trend, name = (SELECT name FROM c ORDER BY cur - prev DESC, name LIMIT 1) AS most_gained, name = (SELECT name FROM c ORDER BY cur - prev, name LIMIT 1) AS most_lost FROM c",
     ),
+    "ana32_report_text": (
+        lambda m: report.facts_text(_report_facts(m), "2001-06-18", postings=m.posting.agg(n_rows())),
+        f"""WITH f AS (WITH c AS (SELECT s.name, count(DISTINCT CASE WHEN p.posted_at >= TIMESTAMP '2001-06-18 00:00:00' THEN p.id END) AS cur, count(DISTINCT CASE WHEN p.posted_at < TIMESTAMP '2001-06-18 00:00:00' THEN p.id END) AS prev FROM posting_skill ps JOIN job_posting p ON p.id = ps.posting_id JOIN skill s ON s.id = ps.skill_id WHERE ps.requirement IN {_D} AND p.posted_at >= TIMESTAMP '2001-06-11 00:00:00' AND p.posted_at < TIMESTAMP '2001-06-25 00:00:00' GROUP BY 1) SELECT row_number() OVER (ORDER BY cur DESC, name) AS rank, name, cur, prev, cur - prev AS change, CASE WHEN prev > 0 THEN round((cur - prev) / CAST(prev AS DOUBLE), 4) END AS rate, CASE WHEN prev = 0 THEN 'new' WHEN cur > prev THEN 'up' WHEN cur < prev THEN 'down' ELSE 'same' END AS trend, name = (SELECT name FROM c ORDER BY cur - prev DESC, name LIMIT 1) AS most_gained, name = (SELECT name FROM c ORDER BY cur - prev, name LIMIT 1) AS most_lost FROM c), x AS (SELECT *, CASE WHEN rate IS NULL THEN format('{{:,}}건 (신규)', cur) ELSE concat(format('{{:,}} → {{:,}}건 (', prev, cur), printf('%+.1f', round(rate * 100, 1)), '%)') END AS t FROM f)
+ SELECT concat_ws(chr(10), '주차: 2001-06-18 시작', '분야: 전체', format('이번 주 수집 공고: {{:,}}건', (SELECT count(*) FROM job_posting)), chr(10) || '가장 많이 찾은 기술 스택', string_agg(concat('  ', rank, '. ', name, ' ', t), chr(10) ORDER BY rank) FILTER (WHERE rank <= 10),
+ max(CASE WHEN most_gained THEN concat(chr(10), '최대 상승: ', name, ' ', t) END), max(CASE WHEN most_lost THEN concat('최대 하락: ', name, ' ', t) END), chr(10) || '주요 기술 언급량', string_agg(concat('  ', name, ' ', format('{{:,}} → {{:,}}', prev, cur)), chr(10) ORDER BY rank) FILTER (WHERE rank <= 10)) AS text FROM x""",
+    ),
     "ana34_recent_messages": (
         _messages,
         """WITH last AS (SELECT conv_id, turn, role, role = 'assistant' AND turn % 3 = 0 AS off, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),

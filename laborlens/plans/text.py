@@ -70,6 +70,13 @@ def chunk_rows(m: Market) -> DataFrame:
     return chunks.chunks(bodies(m)).groupBy("posting_id", "section").agg(F.count("*").alias("chunks"), F.min("seq").alias("first_seq"))
 
 
+def long_chunks(m: Market) -> DataFrame:
+    """Sections of up to 39 lines of 100 characters, of which eleven fit a chunk."""
+    rows = m.posting.select("id", F.concat(F.lit("[자격요건]\n"), F.repeat(F.lit("x" * 100 + "\n"), (F.col("id") % 40).cast("int"))).alias("description"))
+    first = F.min(F.when(F.col("seq") == 0, F.col("chunk_hash")))
+    return chunks.chunks(rows).groupBy("posting_id").agg(F.count("*").alias("chunks"), F.max("seq").alias("last_seq"), F.sum("token_count").alias("tokens"), first.alias("first_hash"))
+
+
 def posting_merge(m: Market) -> DataFrame:
     p = m.posting.select("source", F.col("id").alias("source_job_id"), "title", "salary_min", "location", "content_hash", "embed_hash")
     new = p.where("source_job_id % 2 = 0").select("source", "source_job_id", F.concat("title", F.lit("!")).alias("title"), F.lit(None).cast("int").alias("salary_min"), F.lit("X").alias("location"), F.lit("n").alias("content_hash"))
@@ -108,6 +115,11 @@ TABLE = {
     "tx8_tech_field": (fields, f"SELECT id, CASE WHEN a IS NULL THEN coalesce(b, 'backend') WHEN b IS NULL THEN a WHEN a = b THEN a WHEN 'backend' IN (a, b) THEN 'backend' END AS field FROM (SELECT id, {_case('id % 6', _FIELDS)} AS a, {_case('id % 5', _FIELDS[:5])} AS b FROM job_posting)"),
     "tx6_skill_round_trip": (round_trip, "SELECT posting_id, skill_id, requirement, mentions FROM posting_skill"),
     "tx28_chunks": (chunk_rows, None),
+    "tx28_long_chunks": (
+        long_chunks,
+        """SELECT id AS posting_id, n AS chunks, CAST(n - 1 AS INT) AS last_seq, 101 * k - n AS tokens, sha256(concat('required', chr(31), rtrim(repeat(concat(repeat('x', 100), ' '), CASE WHEN k < 12 THEN k ELSE 11 END)))) AS first_hash
+ FROM (SELECT id, k, CASE WHEN k < 12 THEN 1 ELSE (k + 10) // 11 END AS n FROM (SELECT id, id % 40 AS k FROM job_posting) WHERE k > 0)""",
+    ),
     "mrg1_posting_upsert": (posting_merge, """SELECT source, id AS source_job_id, CASE WHEN id % 2 = 0 THEN concat(title, '!') ELSE title END AS title, salary_min, CASE WHEN id % 2 = 0 THEN 'X' ELSE location END AS location,
  CASE WHEN id % 2 = 0 THEN 'n' ELSE content_hash END AS content_hash, embed_hash FROM job_posting UNION ALL SELECT source, id + 10000000, title, salary_min, location, content_hash, NULL FROM job_posting WHERE id % 10 = 1"""),
     "mrg2_company_upsert": (company_merge, "SELECT lower(name) AS name_key, concat(name, ' Inc') AS name, employee_count, CASE WHEN employee_count > 5000 THEN 'large' ELSE size_type END AS size_type FROM company"),

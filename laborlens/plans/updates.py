@@ -60,6 +60,11 @@ def vectors(m: Market) -> DataFrame:
     return lookups.valid_vectors(m.vectors.select(c("vec_id").alias("id"), "embedding"), 64, m.vectors.where("vec_id % 3 = 0").select(c("vec_id").alias("id"))).select("id", F.size("embedding").alias("dims"))
 
 
+def weak(m: Market) -> DataFrame:
+    v = F.when(c("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * F.lit(0.1).cast("float"))).when(c("vec_id") % 11 == 0, F.slice("embedding", 1, 10)).when(c("vec_id") % 13 > 0, c("embedding"))
+    return lookups.weak_vectors(m.vectors.select(c("vec_id").alias("id"), v.alias("embedding")), 64)
+
+
 def crawled(m: Market) -> DataFrame:
     pages = m.sql("SELECT user_id AS run_id, event_id % 20 AS page, count(*) AS fetched, sum(event_id % 3) AS inserted FROM events GROUP BY 1, 2")
     return lookups.progress(pages, "run_id", "page", ["fetched", "inserted"])
@@ -109,6 +114,7 @@ TABLE = {
         f"SELECT id, body, sha256(concat_ws('␟', title, source, 'a,b', '', source, coalesce(CAST(career_min AS VARCHAR), 'None'), coalesce(CAST(career_max AS VARCHAR), 'None'), body, '', '2001')) AS hash FROM ({_ROW})",
     ),
     "tx34_valid_vectors": (vectors, "SELECT vec_id AS id, CAST(len(embedding) AS INT) AS dims FROM embeddings WHERE vec_id % 3 = 0"),
+    "vec2_weak_vectors": (weak, "SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 'norm' WHEN vec_id % 11 = 0 THEN 'size' ELSE 'missing' END AS fault FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0"),
     "st14_progress": (
         crawled,
         "WITH p AS (SELECT user_id AS run_id, event_id % 20 AS page, count(*) AS f, sum(event_id % 3) AS i FROM events GROUP BY 1, 2) SELECT run_id, page, CAST(sum(f) OVER w AS BIGINT) AS fetched, CAST(sum(i) OVER w AS BIGINT) AS inserted FROM p WINDOW w AS (PARTITION BY run_id ORDER BY page)",

@@ -28,7 +28,7 @@ def with_detail(jobs: DataFrame, details: DataFrame) -> DataFrame:
 
 def sample_lists(m: Market) -> DataFrame:
     """List answers of 50 postings, made from the posting view."""
-    jobs = m.posting.groupBy("source", F.floor(F.col("id") / 50)).agg(F.collect_list(F.struct("id", "title", "location", "career_min")).alias("jobs"))
+    jobs = m.posting.groupBy("source", F.floor(F.col("id") / 50)).agg(F.array_sort(F.collect_list(F.struct("id", "title", "location", "career_min"))).alias("jobs"))
     return jobs.select(F.to_json(F.struct("source", "jobs")).alias("payload"))
 
 

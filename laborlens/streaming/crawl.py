@@ -1,18 +1,13 @@
-"""Incremental crawl: list rows not seen lately, when to stop paging, and merging of new versions."""
+"""Incremental crawl: list rows not seen lately, and merging of new versions. Runs and page stops are in ``runs``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from laborlens.operators import merge
-
-KNOWN_PAGES = 2
+from laborlens.operators.buckets import BucketTable
 
 
 def first_seen(listed: DataFrame, keys: list[str], time_col: str, days: int) -> DataFrame:
@@ -25,39 +20,17 @@ def unseen(listed: DataFrame, seen: DataFrame, keys: list[str], seen_col: str, s
     return listed.join(seen.where(F.col(seen_col) >= since).select(*keys).distinct(), keys, "left_anti")
 
 
-def stops(pages: DataFrame, job_col: str = "job") -> DataFrame:
-    """``(job, page, run, stop)`` for a stream of ``(job, page, rows, known)``.
-
-    ``run`` counts pages in a row whose rows are all known; ``KNOWN_PAGES`` of them
-    stop the job for good. The state of a job is one number.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        out = []
-        for page, rows, known in sorted((p for b in batches for p in zip(b["page"], b["rows"], b["known"]))):
-            run = run if run >= KNOWN_PAGES else run + 1 if rows and rows == known else 0
-            out.append((key[0], page, run, run >= KNOWN_PAGES))
-        state.update((run,))
-        yield pd.DataFrame(out, columns=["job", "page", "run", "stop"])
-
-    rows = pages.select(F.col(job_col).cast("string").alias("job"), F.col("page").cast("long"), F.col("rows").cast("long"), F.col("known").cast("long"))
-    return rows.groupBy("job").applyInPandasWithState(step, "job string, page long, run long, stop boolean", "run long", "append", GroupStateTimeout.NoTimeout)
-
-
-def ingest(versions: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of posting versions into ``path``: a folder for each batch holds the whole table after it.
+def ingest(versions: DataFrame, table: BucketTable, checkpoint: str) -> StreamingQuery:
+    """Merge a stream of posting versions into a table of postings.
 
     A version of a key replaces those before it; of one batch the one with the
-    greatest collected_at. A batch that runs again writes the same folder again.
+    greatest collected_at. Only buckets with a changed row are rewritten, so a batch
+    that runs again after a failure changes nothing.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(stored.schema).parquet(f"{path}/batch={n - 1}") if n else stored
         key = list(merge.POSTING_KEY)
         last = batch.groupBy(*key).agg(F.max(F.struct("collected_at", *(c for c in batch.columns if c not in (*key, "collected_at")))).alias("v"))
-        last = last.select(*key, "v.*")
-        merge.upsert_postings(old, last).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        table.merge(last.select(*key, "v.*"), merge.upsert_postings)
 
     return versions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from laborlens.functions import dates, jsonld
-from laborlens.operators import backlog
+from laborlens.operators import backlog, merge
+from laborlens.operators.buckets import BucketTable
 from laborlens.streaming import crawl, windows
 
 SF = "/root/testdata/sf0.001"
@@ -56,17 +57,22 @@ def test_first_seen(spark, files):
     assert [r[0] for r in run(crawl.first_seen(stream, ["id"], "at", 7), spark, "seen")] == [1, 2, 3]
 
 
-def test_stops(spark, files):
-    rows = lambda *v: spark.createDataFrame(v, "job string, page long, rows long, known long")
-    stream = files(rows(("a", 1, 5, 5), ("b", 1, 5, 5)), rows(("a", 2, 5, 5), ("b", 2, 5, 4), ("b", 3, 0, 0)), rows(("a", 3, 5, 0)))
-    assert run(crawl.stops(stream), spark, "stops") == [("a", 1, 1, False), ("a", 2, 2, True), ("a", 3, 2, True), ("b", 1, 1, False), ("b", 2, 0, False), ("b", 3, 0, False)]
-
-
 def test_ingest(spark, files, tmp_path):
     rows = lambda *v: spark.createDataFrame(v, "source string, source_job_id long, title string, location string, collected_at long")
     stream = files(rows(("s", 1, "a", "x", 1), ("s", 1, "b", None, 2)), rows(("s", 1, "c", None, 3), ("s", 2, "d", "y", 3)))
-    crawl.ingest(stream, rows(("s", 1, "old", "w", 0)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/batch=1")).collect()) == [("s", 1, "c", "w", 3), ("s", 2, "d", "y", 3)]
+    old = rows(*[("s", i, "old", "w", 0) for i in range(1, 40) if i != 2])
+    table = BucketTable(str(tmp_path / "out"), old.schema, merge.POSTING_KEY, 8)
+    table.create(old)
+    before = set((tmp_path / "out").rglob("*.parquet"))
+    crawl.ingest(stream, table, str(tmp_path / "cp")).awaitTermination()
+    got = {r.source_job_id: tuple(r) for r in table.read(spark).collect()}
+    assert got[1] == ("s", 1, "c", "w", 3) and got[2] == ("s", 2, "d", "y", 3) and len(got) == 39 and got[7] == ("s", 7, "old", "w", 0)
+    after = set((tmp_path / "out").rglob("*.parquet"))
+    assert 1 <= len(after - before) <= 2 and len(before & after) >= 6  # files of buckets without a change keep their names
+    again = rows(("s", 1, "c", None, 3), ("s", 2, "d", None, 3))
+    assert table.merge(again, merge.upsert_postings) == [] and set((tmp_path / "out").rglob("*.parquet")) == after
+    assert table.merge(again.limit(0), merge.upsert_postings) == []
+    assert len(table.merge(rows(("s", 7, "new", None, 4)), merge.upsert_postings)) == 1 and table.read(spark).count() == 39
 
 
 def test_dates(spark):
