@@ -132,7 +132,7 @@ TABLE = {
     "tool_popular_skills_of_week": (lambda m: tools.popular_skills(m, period="week"), f"""WITH a AS ({_asked(_in(WEEK))}), c AS (SELECT name, count(DISTINCT posting_id) AS postings FROM a GROUP BY 1), w AS (SELECT count(DISTINCT posting_id) AS analyzed FROM a),
  t AS (SELECT count(*) AS total FROM job_posting p WHERE {_in(WEEK)}) SELECT CAST(row_number() OVER (ORDER BY postings DESC, name) AS INT) AS rank, name, postings, round(postings / CAST(analyzed AS DOUBLE), 4) AS share, analyzed, total FROM c, w, t ORDER BY postings DESC, name LIMIT 10"""),
     "tool_rising_totals_of_month": (lambda m: tools.rising_skills(m, period="month")["totals"], f"SELECT recent, previous, least(recent, previous) < 100 AS low_confidence FROM (SELECT count(*) FILTER (WHERE {_in(MONTHS[0])}) AS recent, count(*) FILTER (WHERE {_in(MONTHS[1])}) AS previous FROM job_posting p)"),
-    "tool_compare_companies": (lambda m: tools.compare_companies(m, ["customer#000000002", "nobody", " Customer#000000004 "]).rows, f"SELECT t.*, count(*) OVER (PARTITION BY name) = 2 AS shared FROM ({_top_skills('(2, 4)', _STRICT)}) t"),
+    "tool_compare_companies": (lambda m: tools.compare_companies(m, ["customer#000000002", "nobody", " Customer#000000004 "]).rows, f"SELECT company_id, CAST(rank AS INT) AS rank, name, postings, share, count(*) OVER (PARTITION BY name) = 2 AS shared FROM ({_top_skills('(2, 4)', _STRICT)}) t"),
     "ana28_roadmap_demand": (lambda m: A.roadmap_demand(m, "asia"), f"""WITH p AS (SELECT p.* FROM job_posting p JOIN tech_field f ON f.id = p.field_id WHERE f.code = 'asia' AND {_since(90)}), w AS (SELECT count(*) AS whole FROM p), c AS (SELECT ps.skill_id, s.name, count(DISTINCT ps.posting_id) AS postings FROM posting_skill ps JOIN p ON p.id = ps.posting_id
  JOIN skill s ON s.id = ps.skill_id JOIN skill_field sf ON sf.skill_id = s.id JOIN tech_field f ON f.id = sf.field_id AND f.code = 'asia' WHERE ps.requirement IN {_DEMAND} AND NOT s.is_common GROUP BY 1, 2)
  SELECT CAST(row_number() OVER (ORDER BY postings DESC, name) AS INT) AS rank, skill_id, name, postings, round(postings / CAST(whole AS DOUBLE), 4) AS share FROM c, w ORDER BY postings DESC, name LIMIT 15"""),
