@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laborlens.llm.common import cut
-from laborlens.llm.graph import components
+from laborlens.llm.graph import components, labels
 from laborlens.llm.windows import _mixed, apart, as_bytes, named
 
 WORDS, PERCENT = 5, 80
@@ -291,8 +291,9 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
             pairs = pairs.select(*ends).distinct()
         found = cut(_verified(pairs, fragments, percent))
         links = found if links is None else links.union(found)
-        if turn < leaders:
-            roots = cut(components(links))
+        if turn < leaders and not found.isEmpty():  # what two nodes have in common shows in the next turns, all of it at the end
+            known = links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
+            roots = cut(labels(known))
     return links
 
 
