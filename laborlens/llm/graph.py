@@ -32,13 +32,14 @@ def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
 EDGES_A_PART = 50_000
 
 
-def labels(edges: DataFrame) -> DataFrame:
+def labels(edges: DataFrame, most: int) -> DataFrame:
     """``(node, root)`` for every node of ``edges (u, v)``: the least node within two steps.
 
     Nodes with one root are connected, but a component may have several roots: a
-    cheap first grasp of it, in one job instead of the rounds of ``components``.
+    cheap first grasp of it, in one job instead of the rounds of ``components``. There
+    are ``most`` edges at most.
     """
-    ends = edges.coalesce(edges.count() // EDGES_A_PART + 1).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+    ends = edges.coalesce(most // EDGES_A_PART + 1).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     near = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     far = ends.join(near.select(F.col("u").alias("w"), F.col("m").alias("l")), F.col("v") == F.col("w")).groupBy(F.col("u").alias("x")).agg(F.min("l").alias("l"))
     return near.join(far, F.col("u") == F.col("x")).select(F.col("u").alias("node"), F.least("m", "l").alias("root"))

@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: Parity bits of a set, eight longs.
 BITS = 512
 #: Rounds in which long lists of candidates are compared with one leader each.
-LEADERS = 4
+LEADERS = 3
 #: Share of a set that the screen asks to be met twice: one in so many shingles.
 SCREEN = 10
 #: Names of nodes and pairs, of four longs each at most, that are broadcast at most.
@@ -233,16 +233,17 @@ def _alike(a: str, b: str, n: Column, percent: int) -> Column:
     return sum(differ[1:], differ[0]) * (100 + percent) <= n * (100 - percent)
 
 
-def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The links among ``pairs (u, v, nu, nv)``: overlaps counted by fragment and summed by pair; only fragments of their nodes travel."""
+def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """The links among ``pairs (u, v, nu, nv)``, and how many pairs there were: overlaps counted by fragment and summed by pair; only fragments of their nodes travel."""
     pairs = cut(pairs)
-    few = pairs.count() <= BROADCAST_NODES
+    n = pairs.count()
+    few = n <= BROADCAST_NODES
     here = F.broadcast if few else (lambda x: x)
     wanted = [fragments.join(here(pairs.select(F.col(end).alias("node")).distinct()), "node", "left_semi") for end in ("u", "v")]
     a, b = (w.select(F.col("node").alias(end), F.col("fragment").alias(f"f{end}"), F.col("grams").alias(f"g{end}")) for w, end in zip(wanted, ("u", "v")))
     parts = here(pairs).join(a, "u").withColumnRenamed("fu", "fv").join(b, ["v", "fv"])
     both = parts.groupBy("u", "v", "nu", "nv").agg(F.sum(F.size(F.array_intersect("gu", "gv"))).alias("shared"))
-    return both.where(F.col("shared") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent).select("u", "v")
+    return both.where(F.col("shared") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent).select("u", "v"), n
 
 
 def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
@@ -273,7 +274,7 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
 
     u_first = F.col("a.node") < F.col("b.node")
     ends = [F.when(u_first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(x) for x, c in (("u", "node"), ("nu", "n"))] + [F.when(u_first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(x) for x, c in (("v", "node"), ("nv", "n"))]
-    links, roots = None, None
+    links, roots, tried = None, None, 0
     for turn in range(leaders + 1):
         mine = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n", "place")).alias("x")).where("r1 <> r2")
@@ -289,11 +290,12 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
             a, b = mine.alias("a"), mine.alias("b")
             pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & u_first & (F.col("a.root") != F.col("b.root")) & _room(percent) & _alike("a.bits", "b.bits", F.col("a.n") + F.col("b.n"), percent))
             pairs = pairs.select(*ends).distinct()
-        found = cut(_verified(pairs, fragments, percent))
+        found, n = _verified(pairs, fragments, percent)
+        found, tried = cut(found), tried + n
         links = found if links is None else links.union(found)
-        if turn < leaders and not found.isEmpty():  # what two nodes have in common shows in the next turns, all of it at the end
+        if turn < leaders and n:  # what two nodes have in common shows in the next turns, all of it at the end
             known = links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
-            roots = cut(labels(known))
+            roots = cut(labels(known, 2 * tried))
     return links
 
 
