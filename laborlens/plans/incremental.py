@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlens.functions import dates, html, jsonld
+from laborlens.functions.spread import spread
 from laborlens.operators import backlog
 from laborlens.sources.market import Market, expanded
 from laborlens.streaming import crawl, windows
@@ -68,7 +69,7 @@ def date_texts(m: Market) -> DataFrame:
 def job_pages(m: Market) -> DataFrame:
     """Pages made from postings: the job object inside a graph, its salary by month or year, and two labelled values."""
     job = "concat('{\"@graph\": [{\"@type\": \"Thing\"}, {\"@type\": [\"JobPosting\"], \"title\": \"', title, '\", \"baseSalary\": {\"currency\": \"', CASE WHEN id % 10 = 0 THEN 'USD' ELSE 'KRW' END, '\", \"value\": {\"value\": ', coalesce(CAST(salary_min * 1000 AS STRING), '\"ask\"'), CASE WHEN id % 2 = 0 THEN ', \"unitText\": \"MONTH\"' ELSE '' END, '}}}]}')"
-    return m.sql(f"SELECT id, concat('<html><script type=\"application/ld+json\">', {job}, '</script><dl><dt>지역 :</dt><dd>', coalesce(location, ''), '</dd><dt>제목</dt><dd><b>', title, '</b></dd></dl></html>') AS html FROM job_posting")
+    return spread(m.posting.select("id", "title", "location", "salary_min"), "id").selectExpr("id", f"concat('<html><script type=\"application/ld+json\">', {job}, '</script><dl><dt>지역 :</dt><dd>', coalesce(location, ''), '</dd><dt>제목</dt><dd><b>', title, '</b></dd></dl></html>') AS html")
 
 
 def structured(m: Market) -> DataFrame:

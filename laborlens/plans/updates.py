@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laborlens.functions import charts, html, skills, text
+from laborlens.functions.spread import spread
 from laborlens.operators import chunks, lookups, merge
 from laborlens.sources.market import Market, expanded
 
@@ -87,7 +88,7 @@ def bodies(m: Market) -> DataFrame:
         .otherwise(F.lit("<div>empty</div>"))
     )
     head = F.concat(F.lit("<html><nav>자격요건 로그인</nav><dl><dt>급여 :</dt><dd>"), c("id").cast("string"), F.lit("만원</dd></dl><span class='tit'>근무지역</span><b>"), F.coalesce("location", F.lit("")), F.lit("</b>"))
-    pages = m.posting.select("id", F.concat(head, block, F.lit("<div class='related'>주요업무</div></html>")).alias("page"))
+    pages = spread(m.posting.select("id", "title", "location"), "id").select("id", F.concat(head, block, F.lit("<div class='related'>주요업무</div></html>")).alias("page"))
     pages = skills.with_links(pages.select("id", html.body_of("page").alias("b")).withColumn("text", c("b.text")), skills.sent(m.spark, [skills.Skill(1, ("kotlin",))]), "text", None)
     return pages.select("id", html.verdict(c("b.text"), c("b.images"), c("named")).alias("verdict"), html.picked(c("b.labels"), "salary").alias("salary"), html.picked(c("b.labels"), "location").alias("location"), F.substring_index("b.text", "\n", 1).alias("first_line"))
 
