@@ -44,7 +44,7 @@ def _job(m: Market) -> tuple[DataFrame, reparse.Reparsed]:
     posts = _stored(m)
     known = [skills.Skill(r["id"], aliases=(r["name"],), ambiguous=r["id"] % 2 == 0) for r in m.skill.orderBy("id").limit(dictionary.MOST_SKILLS).collect()]
     fresh = chunks.chunks(posts).select("posting_id", "section", "seq", "chunk_hash")
-    state = fresh.where("posting_id % 3 > 0").union(fresh.where("posting_id % 3 = 0").select("posting_id", "section", "seq", F.lit("old")))
+    state = fresh.withColumn("chunk_hash", F.when(c("posting_id") % 3 == 0, "old").otherwise(c("chunk_hash")))
     fields = m.spark.createDataFrame([(i, f) for i, f in enumerate(_FIELDS) if f], "id int, code string")
     return posts, reparse.reparse(posts, skills.sent(m.spark, known), fields, state, fresh_folder(m.spark, "reparse"), "site_a")
 

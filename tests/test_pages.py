@@ -72,3 +72,19 @@ def test_few_pages_are_held_at_a_time():
     run = html.slices(Seen(), pa.struct([("text", pa.string())]))
     first = next(run(iter([(pa.array(["a"] * (3 * html.BATCH)),)])))
     assert len(first) == len(asked) == html.BATCH
+
+
+@pytest.mark.parametrize("name", ["tx28_long_chunks", "tx28_chunks", "tx6_skill_round_trip"])
+def test_bodies_are_cut_in_as_many_tasks_as_there_are_cores(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_white_space_is_that_of_unicode(spark):
+    from pyspark.sql import functions as F
+
+    from laborlens.functions import text
+
+    rows = spark.createDataFrame([(f"{c}a{c}{c}b{c}",) for c in map(chr, range(1, 0x3100))], "t string")
+    old = rows.select(text.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).alias("x"), text.squeezed(F.col("t")).eqNullSafe(F.trim(F.regexp_replace("t", r"(?U)\s+", " "))).alias("y"))
+    assert old.where("not x or not y").isEmpty()
