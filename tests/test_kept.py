@@ -51,3 +51,16 @@ def test_stream(spark, folder, tmp_path):
     kept.keep(spark.createDataFrame(more, "source string, kind string, number long, payload string"), str(folder))
     run()  # goes on from the offset that it had
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(ROWS + more)
+
+
+def test_a_folder_is_listed_once_however_many_tasks_read_it(tmp_path, monkeypatch):
+    for n in range(20):
+        (tmp_path / "s" / "k").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "s" / "k" / f"{n}.json").write_text(str(n))
+    listed = []
+    names = kept._Folder._names
+    monkeypatch.setattr(kept._Folder, "_names", lambda self, *parts: listed.append(parts) or names(self, *parts))
+    scan = kept.Scan({"path": str(tmp_path), "step": "3"})
+    parts = scan.partitions()
+    assert len(parts) == 7 and [r[2] for p in parts for r in scan.read(p)] == list(range(20))
+    assert listed.count(("s", "k")) == 1
