@@ -66,6 +66,15 @@ def _probed(queries: DataFrame, members: DataFrame, sizes: DataFrame, top: int,
     return q.groupBy("cell", "i", "j").cogroup(m.groupBy("of", "mi", "mj")).applyInPandas(meet, "q long, id long, similarity double, computed long")
 
 
+def _asking(b: pd.DataFrame, d: np.ndarray, go: np.ndarray, most: int) -> Iterator[pd.DataFrame]:
+    """A row for each query and cell where ``go`` is set, ``most`` rows at a time: a batch of queries asks for nearly all cells where no bound helps."""
+    row, cell = np.nonzero(go)
+    q, v, tau = (b[x].to_numpy() for x in ("id", "v", "tau"))
+    for at in range(0, len(row), most):
+        r, of = row[at : at + most], cell[at : at + most]
+        yield pd.DataFrame({"q": q[r], "qv": v[r], "cell": of, "dq": d[r, of], "tau": tau[r]})
+
+
 def knn_join(vectors: DataFrame, top: int, id_col: str = "vec_id", vec_col: str = "embedding", centres: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(q, rank, id, similarity, computed)``: the ``top`` most similar other vectors of each vector.
 
@@ -102,8 +111,7 @@ def knn_join(vectors: DataFrame, top: int, id_col: str = "vec_id", vec_col: str
                 d = _distances(np.stack(b["v"].to_numpy()), middles.value)
                 go = d - reach.value <= b["tau"].to_numpy()[:, None]
                 go[np.arange(len(b)), b["cell"].to_numpy()] = False
-                row, cell = np.nonzero(go)
-                yield pd.DataFrame({"q": b["id"].to_numpy()[row], "qv": b["v"].to_numpy()[row], "cell": cell, "dq": d[row, cell], "tau": b["tau"].to_numpy()[row]})
+                yield from _asking(b, d, go, block)
 
     others = bounded.mapInPandas(ask, "q long, qv array<double>, cell int, dq double, tau double")
     found = own.union(_probed(others, members, cells.select("cell", "n"), top, block))

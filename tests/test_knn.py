@@ -1,6 +1,7 @@
 """Neighbours against all pairs: clustered, random, repeated, null and zero vectors."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from laborlens.operators import knn
@@ -49,3 +50,12 @@ def test_odd_vectors(spark):
     assert got(knn.knn_join(df, 2)) == {1: [(2, 1.0), (6, 1.0)], 2: [(1, 1.0), (6, 1.0)], 5: [(1, -1.0), (2, -1.0)], 6: [(1, 1.0), (2, 1.0)]}
     assert knn.knn_join(df.limit(0), 2).isEmpty()
     assert got(knn.knn_join(df.where("vec_id = 1"), 2)) == {}
+
+
+def test_a_batch_of_queries_asks_for_some_cells_at_a_time():
+    b = pd.DataFrame({"id": range(50), "v": [[1.0, 0.0]] * 50, "tau": [2.0] * 50})
+    d = np.arange(2000.0).reshape(50, 40)
+    frames = list(knn._asking(b, d, d % 3 > 0, 64))
+    assert max(map(len, frames)) == 64
+    got = pd.concat(frames)
+    assert sorted(got["dq"]) == sorted(d[d % 3 > 0]) and (got["dq"] == got["q"] * 40 + got["cell"]).all()
