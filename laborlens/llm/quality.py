@@ -12,19 +12,20 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import cut, once
+from laborlens.llm.common import once, shared_dir
 
 BUCKETS = 1 << 13
 #: Share of held-out trusted documents under the threshold. With fewer than LEAST_HELD of them the threshold is THRESHOLD.
 QUANTILE, LEAST_HELD = 0.01, 50
 THRESHOLD = -0.15
 SMOOTHING = 1.0
-#: Trusted documents that the target multinomial is fitted on, at most: those whose ids hash lowest.
-TRUSTED = 20_000
+#: Trusted documents that are used at most; all of them.
+TRUSTED = None
 SYMBOLS = "[#*$%&|<>]"
 _SPACE = "[\\x20\\x09-\\x0D]"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -87,10 +88,11 @@ def _measured(rows: DataFrame, text: Column, table: Column, buckets: int, carry:
     return steps.select(*carry, F.inline(F.array(F.struct(*measures))))
 
 
-def _trusted(labels: DataFrame, most: int) -> DataFrame:
+def _trusted(labels: DataFrame, most: int | None) -> DataFrame:
     """``(trusted_id, held)``: documents with quality 1 and not toxic, and which of them are held out."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    good = good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+    if most is not None:
+        good = good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
     return good.select("trusted_id", (F.pmod(F.xxhash64("trusted_id", F.lit(1)), F.lit(2)) == 1).alias("held"))
 
 
@@ -99,8 +101,8 @@ def weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS, id_col: st
 
     The raw counts cover every document; ``good`` has the trusted ids. Without any, all ratios are 0.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
-    rows = rows.join(F.broadcast(good), F.col("doc_id") == F.col("trusted_id"), "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(good, F.col("doc_id") == F.col("trusted_id"), "left").select("trusted_id", _words(F.col("text")).alias("w"))
     # A row for each word and the word after it; only the sums of the buckets are shuffled.
     each = rows.select(F.col("trusted_id").isNotNull().alias("t"), F.inline(F.arrays_zip(F.col("w").alias("a"), _from(F.col("w"), 2, F.size("w") - 1).alias("b"))))
     each = each.select("t", F.xxhash64("a").alias("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("b"))
@@ -118,17 +120,21 @@ def _base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, float]:
+def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, float]:
     """The table of weights as a column, and the threshold.
 
     With too few held-out documents that pass the base rules, the target is fitted on all and the threshold is THRESHOLD.
     """
-    good = cut(_trusted(labels, trusted))
+    # Written, so that Spark knows its size: it is broadcast while it is small and joined by a shuffle beyond.
+    path = f"{shared_dir(docs.sparkSession)}/trusted-{uuid.uuid4().hex}"
+    good = _trusted(labels, trusted)
+    good.write.parquet(path)
+    good = docs.sparkSession.read.schema(good.schema).parquet(path)
     as_table = lambda ids: F.from_json(F.lit(json.dumps(weights(docs, ids, buckets, id_col, text_col))), "array<double>")
     if good.where("held").count() >= LEAST_HELD:
         table = as_table(good.where("not held").select("trusted_id"))
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(good.where("held")), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(good.where("held"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
         passed = _measured(rows, F.col("text"), table, buckets, []).where(~_base_failed())
         n, at = passed.agg(F.count("*"), F.percentile("score", F.lit(QUANTILE))).first()
         if n >= LEAST_HELD:
@@ -136,7 +142,7 @@ def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted:
     return as_table(good.select("trusted_id")), THRESHOLD
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = BUCKETS, trusted: int = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = BUCKETS, trusted: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept)``; ``row`` has all columns of ``docs``.
 
     A threshold that is not given is fitted. Null text has no words and fails.
