@@ -24,6 +24,8 @@ BUCKETS = 1 << 13
 QUANTILE, LEAST_HELD = 0.01, 50
 THRESHOLD = -0.15
 SMOOTHING = 1.0
+#: Trusted ids that are sent to where the texts are; beyond, texts are shuffled to meet them.
+BROADCAST_IDS = 4_000_000
 #: Trusted documents that are used at most; all of them.
 TRUSTED = None
 SYMBOLS = "[#*$%&|<>]"
@@ -125,21 +127,21 @@ def fitted(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted:
 
     With too few held-out documents that pass the base rules, the target is fitted on all and the threshold is THRESHOLD.
     """
-    # Written, so that Spark knows its size: it is broadcast while it is small and joined by a shuffle beyond.
     path = f"{shared_dir(docs.sparkSession)}/trusted-{uuid.uuid4().hex}"
     good = _trusted(labels, trusted)
     good.write.parquet(path)
     good = docs.sparkSession.read.schema(good.schema).parquet(path)
+    good = good.hint("broadcast" if good.count() <= BROADCAST_IDS else "shuffle_hash")
     as_table = lambda ids: F.from_json(F.lit(json.dumps(weights(docs, ids, buckets, id_col, text_col))), "array<double>")
     if good.where("held").count() >= LEAST_HELD:
-        table = as_table(good.where("not held").select("trusted_id"))
+        table = as_table(good.where("not held"))
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(good.where("held"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
         passed = _measured(rows, F.col("text"), table, buckets, []).where(~_base_failed())
         n, at = passed.agg(F.count("*"), F.percentile("score", F.lit(QUANTILE))).first()
         if n >= LEAST_HELD:
             return table, at
-    return as_table(good.select("trusted_id")), THRESHOLD
+    return as_table(good), THRESHOLD
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = BUCKETS, trusted: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
