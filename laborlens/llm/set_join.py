@@ -14,9 +14,11 @@ Every link at ``percent`` or more is found, whatever the data; nothing is estima
    in each fragment apart, and the parts are summed.
 
 A first shingle that many copies share would make all their pairs: so it is first
-compared with one leader, linked sets become classes, and only sets of different
-classes are compared after that. That loses no component. What is then left in one shingle's
-list is compared by a join that Spark may split, and only pairs that pass the bounds leave it.
+compared with one leader, the set with the fewest rare shingles, linked sets become classes,
+and only sets of different classes are compared after that. That loses no component. What is
+then left in one shingle's list is compared by a join that Spark may split, and only pairs that
+pass the bounds leave it: not at every shingle that both share, but where none of the few
+shingles before it is shared too, as is so at the first.
 
 Shingles are 64-bit hashes. Two that collide count as one only if both are in the two
 sets compared, some 2**-44 for sets of a thousand.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.llm.common import cut
@@ -41,6 +43,8 @@ WORDS, PERCENT = 5, 80
 BITS = 512
 #: Rounds in which long lists of candidates are compared with one leader each.
 LEADERS = 3
+#: Keys before its own that a row of the last join carries.
+BEFORE = 8
 #: Share of a set that the screen asks to be met twice: one in so many shingles.
 SCREEN = 10
 #: Names of nodes and pairs, of four longs each at most, that are broadcast at most.
@@ -221,9 +225,12 @@ def _ranked(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def _room(percent: int) -> Column:
-    """Whether sizes and places in the order of ``a`` and ``b`` leave room for a link."""
+    """Whether sizes and places in the order of ``a`` and ``b`` leave room for a link.
+
+    ``at`` counts the shingles up to the shared one that other sets have too, ``place`` all of them.
+    """
     n, m = F.col("a.n"), F.col("b.n")
-    most = F.least("a.place", "b.place") + F.least(n - F.col("a.place"), m - F.col("b.place"))
+    most = F.least("a.at", "b.at") + F.least(n - F.col("a.place"), m - F.col("b.place"))
     return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (most * (100 + percent) >= (n + m) * percent)
 
 
@@ -233,6 +240,13 @@ def _alike(a: str, b: str, n: Column, percent: int) -> Column:
     return sum(differ[1:], differ[0]) * (100 + percent) <= n * (100 - percent)
 
 
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of two classes in one list that the bounds allow, at the first key that both hold and at few others."""
+    a, b = lists.alias("a"), lists.alias("b")
+    bounds = _room(percent) & ~F.arrays_overlap("a.before", "b.before") & _alike("a.bits", "b.bits", F.col("a.n") + F.col("b.n"), percent)
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & bounds)
+
+
 def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> tuple[DataFrame, int]:
     """The links among ``pairs (u, v, nu, nv)``, and how many pairs there were: overlaps counted by fragment and summed by pair; only fragments of their nodes travel."""
     pairs = cut(pairs)
@@ -252,8 +266,10 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
     unique = F.col("n") - F.size("order")
     first = F.col("n") - _least(F.col("n"), percent) + 1 - unique
     marks = ranked.select("node", "bits")
-    starts = ranked.where(first > 0).select("node", "n", unique.alias("unique"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("i", "x"))
-    starts = starts.select(F.col("x").alias("key"), "node", "n", (F.col("unique") + F.col("i") + 1).alias("place"))
+    # A set's shingles by how rare they are, as a share of its size; the centre of a class has few that are rare.
+    rare = sum((unique + F.col("cuts")[2 * i + 1] for i in range(len(FRAGMENTS))), F.lit(0)) * 1000 / F.col("n")
+    starts = ranked.where(first > 0).select("node", "n", unique.alias("unique"), rare.cast("int").alias("rare"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("i", "x"))
+    starts = starts.select(F.col("x").alias("key"), "node", "n", "rare", (F.col("i") + 1).alias("at"), (F.col("unique") + F.col("i") + 1).alias("place"))
     met = starts.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     keys = cut(starts.join(apart(met, "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key"))
     if keys.isEmpty():
@@ -277,18 +293,20 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
     links, roots, tried = None, None, 0
     for turn in range(leaders + 1):
         mine = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "root", "n", "place")).alias("x")).where("r1 <> r2")
+        # After the first turn a leader is one that no class has taken yet, if there is one.
+        chosen = F.struct((F.col("node") != F.col("root")).alias("o"), *(["rare"] if turn < 2 else []), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "n", "at", "place")
+        open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(chosen).alias("x")).where("r1 <> r2")
         mine = mine.join(apart(open_.select("key", "x"), "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key")
         if 0 < turn < leaders:  # a list of one class stays one
             mine = cut(mine)
-            keys = mine.select("key", "node", "n", "place")
+            keys = mine.select("key", "node", "n", "rare", "at", "place")
         if turn < leaders:
-            pairs = mine.where("root <> x.root").select(F.struct("node", "n", "place").alias("a"), F.col("x").alias("b")).where(_room(percent))
+            pairs = mine.where("root <> x.root").select(F.struct("node", "n", "at", "place").alias("a"), F.col("x").alias("b")).where(_room(percent))
             pairs = alike(pairs.select(*ends).distinct())
         else:  # the exact rest: lists by key, of which only pairs of two classes that pass the bounds come out
-            mine = cut(mine.drop("x").join(marks, "node"))
-            a, b = mine.alias("a"), mine.alias("b")
-            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & u_first & (F.col("a.root") != F.col("b.root")) & _room(percent) & _alike("a.bits", "b.bits", F.col("a.n") + F.col("b.n"), percent))
+            # All sets keep their shingles in one order, so where both hold one of those before, the pair has been met there.
+            before = F.collect_list("key").over(Window.partitionBy("node").orderBy("at").rowsBetween(-BEFORE, -1))
+            pairs = _met(cut(mine.drop("x", "rare").withColumn("before", before).join(marks, "node")), percent)
             pairs = pairs.select(*ends).distinct()
         found, n = _verified(pairs, fragments, percent)
         found, tried = cut(found), tried + n

@@ -107,3 +107,28 @@ def test_a_large_class_of_near_copies_is_whole(spark):
     docs = spark.createDataFrame(rows + far, "doc_id long, text string")
     got = [r.doc_id for r in near_copies.keep_one(docs).collect()]
     assert sorted(got) == kept(rows + far) and 1 < len(got) < 400
+
+
+@pytest.mark.parametrize("leaders", [0, 3])
+def test_the_last_join_tells_a_pair_few_times(spark, monkeypatch, leaders):
+    """Pairs of texts that share many first shingles, and one large class: the rows of the last join stay near the pairs."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        base = [f"p{k}w{i}" for i in range(400)]
+        rows += [(len(rows) + e, edited(rng, base, e)) for e in (0, 9)]
+    hub = [f"h{i}" for i in range(150)]
+    rows += [(5000 + n, edited(rng, hub, 2)) for n in range(120 if leaders else 10)] + [(9000, " ".join(hub))]
+    counts, met = [], set_join._met
+
+    def counted(lists, percent):
+        out = met(lists, percent)
+        counts.append((out.count(), out.select("a.node", "b.node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(set_join, "_met", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs, leaders=leaders).collect()) == kept(rows)
+    [(told, pairs)] = counts
+    assert told <= 3 * pairs + 3
+    assert leaders == 0 or pairs < 300
