@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laborlens.llm import simhash
 from laborlens.llm.common import cut
 from laborlens.llm.graph import components, labels
 from laborlens.llm.windows import _mixed, apart, as_bytes, named
@@ -188,17 +189,19 @@ def _hits(texts: DataFrame, words: int, percent: int, screen: int, buckets: int)
     return sent.groupBy("bucket").applyInArrow(met, "d1 long, hits long").groupBy("d1").agg(F.sum("hits").alias("hits"))
 
 
-def _ranked(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``(node, n, bits, order, cuts)``: shingles that another node has too, in the global order, and where its fragments end there.
+def _ranked(texts: DataFrame, nodes: DataFrame, words: int, by_simhash: bool = False) -> DataFrame:
+    """``(node, n, bits, fp, order, cuts)``: its fingerprint, if asked for, shingles that another node has too, in the global order, and where its fragments end there.
 
     The order is by class of how often a shingle is met (``FRAGMENTS``), then by hash; each class is cut in two at hash 0.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(shingle_sets(b.column(1).to_pylist(), words))
-            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([parity(x) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["node", "n", "bits", "grams"])
+            of = b.column(1).to_pylist()
+            found = list(shingle_sets(of, words))
+            prints = np.array([simhash.fingerprint(t) for t in of], dtype=np.uint64).view(np.int64) if by_simhash else np.zeros(len(of), dtype=np.int64)
+            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([parity(x) for x in found], pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["node", "n", "bits", "grams", "fp"])
 
     # Few nodes go to where the texts are; else the texts travel once.
     hint = "broadcast" if nodes.count() <= BROADCAST_NODES else "shuffle_hash"
@@ -209,7 +212,7 @@ def _ranked(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     chosen, again = texts_of(nodes.where("times = 1")), nodes.where("times > 1")
     if not again.isEmpty():
         chosen = chosen.union(texts_of(again).groupBy("node").agg(F.first("text").alias("text")))
-    whole = cut(chosen.mapInArrow(sets, "node long, n long, bits array<long>, grams array<long>"))
+    whole = cut(chosen.mapInArrow(sets, "node long, n long, bits array<long>, grams array<long>, fp long"))
     each = whole.select("node", F.explode("grams").alias("gram"))
     met = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(apart(met, "gram"), F.col("gram") == F.bitwise_not("not_gram"))
@@ -221,7 +224,7 @@ def _ranked(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         return F.size(F.filter("x", lambda y: (y["c"] < i // 2) | ((y["c"] == i // 2) & ((y["gram"] < 0) | F.lit(bool(i % 2))))))
 
     order = order.select("node", F.transform("x", lambda y: y["gram"]).alias("order"), F.array(*(below(i) for i in range(2 * len(FRAGMENTS)))).alias("cuts"))
-    return whole.select("node", "n", "bits").join(order, "node")
+    return whole.select("node", "n", "bits", "fp").join(order, "node")
 
 
 def _room(percent: int) -> Column:
@@ -240,6 +243,14 @@ def _alike(a: str, b: str, n: Column, percent: int) -> Column:
     return sum(differ[1:], differ[0]) * (100 + percent) <= n * (100 - percent)
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` that connect all ``nodes (node, fp)`` whose SimHash fingerprints chain by 2 differing bits or fewer."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("v"))
+    near = simhash.near_links(cut(first.select("fp", F.col("v").alias("node"))))
+    same = nodes.join(first, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    return near.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _met(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` of two classes in one list that the bounds allow, at the first key that both hold and at few others."""
     a, b = lists.alias("a"), lists.alias("b")
@@ -260,8 +271,11 @@ def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> tuple[Dat
     return both.where(F.col("shared") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent).select("u", "v"), n
 
 
-def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
-    """Links ``(u, v)`` between nodes that connect every component; None if no two nodes meet."""
+def _links(ranked: DataFrame, percent: int, leaders: int, by_simhash: bool = False) -> DataFrame | None:
+    """Links ``(u, v)`` between nodes that connect every component; None if no two nodes meet.
+
+    With ``by_simhash`` pairs of near fingerprints are verified before any others and start the classes.
+    """
     ranked = cut(ranked)
     unique = F.col("n") - F.size("order")
     first = F.col("n") - _least(F.col("n"), percent) + 1 - unique
@@ -291,10 +305,16 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
     u_first = F.col("a.node") < F.col("b.node")
     ends = [F.when(u_first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(x) for x, c in (("u", "node"), ("nu", "n"))] + [F.when(u_first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(x) for x, c in (("v", "node"), ("nv", "n"))]
     links, roots, tried = None, None, 0
+    if by_simhash:
+        a, b = (ranked.select(F.col("node").alias(end), F.col("n").alias(f"n{end}")) for end in ("u", "v"))
+        sized = _near_prints(ranked.select("node", "fp")).join(a, "u").join(b, "v").where((F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent))
+        found, tried = _verified(alike(sized.select("u", "v", "nu", "nv")), fragments, percent)
+        links = cut(found)
+        roots = cut(labels(links, 2 * tried)) if tried else None
     for turn in range(leaders + 1):
         mine = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # After the first turn a leader is one that no class has taken yet, if there is one.
-        chosen = F.struct((F.col("node") != F.col("root")).alias("o"), *(["rare"] if turn < 2 else []), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "n", "at", "place")
+        chosen = F.struct(*([(F.col("node") != F.col("root")).alias("o")] if turn else []), *(["rare"] if turn < 2 else []), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "n", "at", "place")
         open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(chosen).alias("x")).where("r1 <> r2")
         mine = mine.join(apart(open_.select("key", "x"), "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key")
         if 0 < turn < leaders:  # a list of one class stays one
@@ -317,7 +337,7 @@ def _links(ranked: DataFrame, percent: int, leaders: int) -> DataFrame | None:
     return links
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS, screen: int = SCREEN) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS, screen: int = SCREEN, by_simhash: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id, set_id, k1, k2)`` for each row of ``docs``.
 
     ``set_id`` names the component of the row's set by a digest, for rows with and without an id.
@@ -334,7 +354,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     need = F.greatest(F.lit(1), F.floor(_least(F.col("n"), percent) / screen))
     open_ = sets.join(hits, "d1").where(F.col("hits") >= need).select("d1", "d2", "rep.*")
     nodes = cut(cut(open_).withColumn("node", F.monotonically_increasing_id()))
-    links = None if nodes.isEmpty() else _links(_ranked(texts, nodes, words), percent, leaders)
+    links = None if nodes.isEmpty() else _links(_ranked(texts, nodes, words, by_simhash), percent, leaders, by_simhash)
     sets = sets.select("d1", "d2", "least")
     if links is not None:
         roots = components(links)

@@ -132,3 +132,29 @@ def test_the_last_join_tells_a_pair_few_times(spark, monkeypatch, leaders):
     [(told, pairs)] = counts
     assert told <= 3 * pairs + 3
     assert leaders == 0 or pairs < 300
+
+
+def test_stage_links_near_fingerprints_first(spark, monkeypatch):
+    """The pipeline's stage asks SimHash for pairs: those within 2 bits, each fingerprint once; classes stay those of all pairs."""
+    import corpus_pipeline
+    from tests.llm import brute
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(12):
+        base = [f"s{k}w{i}" for i in range(1500)]
+        rows += [(len(rows) + e, edited(rng, base, e)) for e in range(4)]
+    asked, near = [], set_join._near_prints
+
+    def noted(nodes):
+        out = near(nodes)
+        prints = {r.node: r.fp for r in nodes.collect()}
+        asked.append((prints, [(r.u, r.v) for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(set_join, "_near_prints", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == kept(rows)
+    [(prints, pairs)] = asked
+    assert sorted(fp % (1 << 64) for fp in prints.values()) == sorted(brute.fingerprint(t) for _, t in rows)
+    assert pairs and all(((prints[u] ^ prints[v]) % (1 << 64)).bit_count() <= 2 for u, v in pairs)
