@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
         ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).select(F.explode(F.array(pair("u", "v"), pair("u", "u"))).alias("e"))
     sides = ends.select("e.u", "e.v")
     least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "w")
-    joined = sides.join(least, sides["u"] == least["w"])
+    joined = sides.join(F.broadcast(least) if parts == 1 else least, sides["u"] == least["w"])
     out = joined.where("v > u") if large else joined
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct()
 
@@ -39,10 +39,11 @@ def labels(edges: DataFrame, most: int) -> DataFrame:
     cheap first grasp of it, in one job instead of the rounds of ``components``. There
     are ``most`` edges at most.
     """
+    here = F.broadcast if most < EDGES_A_PART else (lambda x: x)
     ends = edges.coalesce(most // EDGES_A_PART + 1).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     near = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    far = ends.join(near.select(F.col("u").alias("w"), F.col("m").alias("l")), F.col("v") == F.col("w")).groupBy(F.col("u").alias("x")).agg(F.min("l").alias("l"))
-    return near.join(far, F.col("u") == F.col("x")).select(F.col("u").alias("node"), F.least("m", "l").alias("root"))
+    far = ends.join(here(near.select(F.col("u").alias("w"), F.col("m").alias("l"))), F.col("v") == F.col("w")).groupBy(F.col("u").alias("x")).agg(F.min("l").alias("l"))
+    return near.join(here(far), F.col("u") == F.col("x")).select(F.col("u").alias("node"), F.least("m", "l").alias("root"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laborlens.llm import simhash
-from laborlens.llm.common import cut
-from laborlens.llm.graph import components, labels
+from laborlens.llm.common import cut, in_one
+from laborlens.llm.graph import EDGES_A_PART, components, labels
 from laborlens.llm.windows import _mixed, apart, as_bytes, named
 
 WORDS, PERCENT = 5, 80
@@ -50,6 +50,8 @@ BEFORE = 8
 SCREEN = 10
 #: Names of nodes and pairs, of four longs each at most, that are broadcast at most.
 BROADCAST_NODES = 1_000_000
+#: Fingerprints; nodes, their first shingles and all their shared ones: up to so many stay in one partition, without a shuffle.
+FEW_PRINTS, FEW_NODES, FEW_KEYS, FEW_SHINGLES = 20_000, 50_000, 200_000, 2_000_000
 #: Fragments of the global order: ranges of how often a shingle is met, each cut in two by hash.
 FRAGMENTS = (2, 3, 5, 17)
 _TIMES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, size=64, dtype=np.uint64) | np.uint64(1)
@@ -245,10 +247,13 @@ def _alike(a: str, b: str, n: Column, percent: int) -> Column:
 
 def _near_prints(nodes: DataFrame) -> DataFrame:
     """Pairs ``(u, v)`` that connect all ``nodes (node, fp)`` whose SimHash fingerprints chain by 2 differing bits or fewer."""
-    first = nodes.groupBy("fp").agg(F.min("node").alias("v"))
-    near = simhash.near_links(cut(first.select("fp", F.col("v").alias("node"))))
-    same = nodes.join(first, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
-    return near.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    few = first.count() <= FEW_PRINTS
+    first = first.coalesce(1) if few else first
+    least = first.withColumnRenamed("node", "v")
+    same = nodes.join(F.broadcast(least) if few else least, "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    links = simhash.near_links(first, few=few).union(same)
+    return (links.coalesce(1) if few else links).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _met(lists: DataFrame, percent: int) -> DataFrame:
@@ -262,13 +267,15 @@ def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> tuple[Dat
     """The links among ``pairs (u, v, nu, nv)``, and how many pairs there were: overlaps counted by fragment and summed by pair; only fragments of their nodes travel."""
     pairs = cut(pairs)
     n = pairs.count()
-    few = n <= BROADCAST_NODES
-    here = F.broadcast if few else (lambda x: x)
+    one = n <= EDGES_A_PART
+    pairs = pairs.coalesce(1) if one else pairs
+    here = F.broadcast if n <= BROADCAST_NODES else (lambda x: x)
     wanted = [fragments.join(here(pairs.select(F.col(end).alias("node")).distinct()), "node", "left_semi") for end in ("u", "v")]
     a, b = (w.select(F.col("node").alias(end), F.col("fragment").alias(f"f{end}"), F.col("grams").alias(f"g{end}")) for w, end in zip(wanted, ("u", "v")))
     parts = here(pairs).join(a, "u").withColumnRenamed("fu", "fv").join(b, ["v", "fv"])
     both = parts.groupBy("u", "v", "nu", "nv").agg(F.sum(F.size(F.array_intersect("gu", "gv"))).alias("shared"))
-    return both.where(F.col("shared") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent).select("u", "v"), n
+    found = both.where(F.col("shared") * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent).select("u", "v")
+    return in_one(found) if one else cut(found), n
 
 
 def _links(ranked: DataFrame, percent: int, leaders: int, by_simhash: bool = False) -> DataFrame | None:
@@ -279,13 +286,17 @@ def _links(ranked: DataFrame, percent: int, leaders: int, by_simhash: bool = Fal
     ranked = cut(ranked)
     unique = F.col("n") - F.size("order")
     first = F.col("n") - _least(F.col("n"), percent) + 1 - unique
+    held = ranked.agg(F.count("*"), F.coalesce(F.sum(F.greatest(first, F.lit(0))), F.lit(0)), F.coalesce(F.sum(F.size("order")), F.lit(0))).first()
+    small = all(n <= most for n, most in zip(held, (FEW_NODES, FEW_KEYS, FEW_SHINGLES)))
+    keep, here = (in_one, F.broadcast) if small else (cut, lambda x: x)
+    ranked = in_one(ranked) if small else ranked
     marks = ranked.select("node", "bits")
     # A set's shingles by how rare they are, as a share of its size; the centre of a class has few that are rare.
     rare = sum((unique + F.col("cuts")[2 * i + 1] for i in range(len(FRAGMENTS))), F.lit(0)) * 1000 / F.col("n")
     starts = ranked.where(first > 0).select("node", "n", unique.alias("unique"), rare.cast("int").alias("rare"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("i", "x"))
     starts = starts.select(F.col("x").alias("key"), "node", "n", "rare", (F.col("i") + 1).alias("at"), (F.col("unique") + F.col("i") + 1).alias("place"))
     met = starts.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    keys = cut(starts.join(apart(met, "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key"))
+    keys = keep(starts.join(here(apart(met, "key")), F.col("key") == F.bitwise_not("not_key")).drop("not_key"))
     if keys.isEmpty():
         return None
 
@@ -293,32 +304,31 @@ def _links(ranked: DataFrame, percent: int, leaders: int, by_simhash: bool = Fal
         start = F.col("cuts")[i - 1] if i else F.lit(0)
         return F.struct(F.lit(i).alias("fragment"), F.slice("order", start + 1, F.col("cuts")[i] - start).alias("grams"))
 
-    mine = ranked.join(keys.select("node").distinct(), "node", "left_semi")
+    mine = ranked.join(here(keys.select("node").distinct()), "node", "left_semi")
     cuts = F.explode(F.array(*(fragment(i) for i in range(2 * len(FRAGMENTS)))))
     fragments = mine.select("node", cuts.alias("x")).select("node", "x.*").where(F.size("grams") > 0)
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs (u, v, nu, nv)`` whose parity bits allow a link."""
         a, b = (marks.select(F.col("node").alias(end), F.col("bits").alias(f"b{end}")) for end in ("u", "v"))
-        return pairs.join(a, "u").join(b, "v").where(_alike("bu", "bv", F.col("nu") + F.col("nv"), percent)).select("u", "v", "nu", "nv")
+        return pairs.join(here(a), "u").join(here(b), "v").where(_alike("bu", "bv", F.col("nu") + F.col("nv"), percent)).select("u", "v", "nu", "nv")
 
     u_first = F.col("a.node") < F.col("b.node")
     ends = [F.when(u_first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(x) for x, c in (("u", "node"), ("nu", "n"))] + [F.when(u_first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(x) for x, c in (("v", "node"), ("nv", "n"))]
     links, roots, tried = None, None, 0
     if by_simhash:
         a, b = (ranked.select(F.col("node").alias(end), F.col("n").alias(f"n{end}")) for end in ("u", "v"))
-        sized = _near_prints(ranked.select("node", "fp")).join(a, "u").join(b, "v").where((F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent))
-        found, tried = _verified(alike(sized.select("u", "v", "nu", "nv")), fragments, percent)
-        links = cut(found)
+        sized = _near_prints(ranked.select("node", "fp")).join(here(a), "u").join(here(b), "v").where((F.col("nu") * 100 >= F.col("nv") * percent) & (F.col("nv") * 100 >= F.col("nu") * percent))
+        links, tried = _verified(alike(sized.select("u", "v", "nu", "nv")), fragments, percent)
         roots = cut(labels(links, 2 * tried)) if tried else None
     for turn in range(leaders + 1):
-        mine = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mine = keys.withColumn("root", F.col("node")) if roots is None else keys.join(here(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # After the first turn a leader is one that no class has taken yet, if there is one.
         chosen = F.struct(*([(F.col("node") != F.col("root")).alias("o")] if turn else []), *(["rare"] if turn < 2 else []), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "n", "at", "place")
         open_ = mine.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(chosen).alias("x")).where("r1 <> r2")
-        mine = mine.join(apart(open_.select("key", "x"), "key"), F.col("key") == F.bitwise_not("not_key")).drop("not_key")
+        mine = mine.join(here(apart(open_.select("key", "x"), "key")), F.col("key") == F.bitwise_not("not_key")).drop("not_key")
         if 0 < turn < leaders:  # a list of one class stays one
-            mine = cut(mine)
+            mine = keep(mine)
             keys = mine.select("key", "node", "n", "rare", "at", "place")
         if turn < leaders:
             pairs = mine.where("root <> x.root").select(F.struct("node", "n", "at", "place").alias("a"), F.col("x").alias("b")).where(_room(percent))
@@ -326,15 +336,16 @@ def _links(ranked: DataFrame, percent: int, leaders: int, by_simhash: bool = Fal
         else:  # the exact rest: lists by key, of which only pairs of two classes that pass the bounds come out
             # All sets keep their shingles in one order, so where both hold one of those before, the pair has been met there.
             before = F.collect_list("key").over(Window.partitionBy("node").orderBy("at").rowsBetween(-BEFORE, -1))
-            pairs = _met(cut(mine.drop("x", "rare").withColumn("before", before).join(marks, "node")), percent)
+            lists = mine.drop("x", "rare").withColumn("before", before).join(here(marks), "node")
+            pairs = _met(cut(lists.repartition("node") if small else lists), percent)  # this join is for all tasks
             pairs = pairs.select(*ends).distinct()
         found, n = _verified(pairs, fragments, percent)
-        found, tried = cut(found), tried + n
+        tried += n
         links = found if links is None else links.union(found)
         if turn < leaders and n:  # what two nodes have in common shows in the next turns, all of it at the end
             known = links if roots is None else links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
             roots = cut(labels(known, 2 * tried))
-    return links
+    return links.coalesce(tried // EDGES_A_PART + 1)
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS, screen: int = SCREEN, by_simhash: bool = False) -> DataFrame:
@@ -352,16 +363,21 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     sets = rows.groupBy("d1", "d2").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.min(F.struct("k1", "k2", "times")).alias("rep"))
     hits = _hits(texts, words, percent, screen, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     need = F.greatest(F.lit(1), F.floor(_least(F.col("n"), percent) / screen))
-    open_ = sets.join(hits, "d1").where(F.col("hits") >= need).select("d1", "d2", "rep.*")
-    nodes = cut(cut(open_).withColumn("node", F.monotonically_increasing_id()))
-    links = None if nodes.isEmpty() else _links(_ranked(texts, nodes, words, by_simhash), percent, leaders, by_simhash)
+    open_ = sets.join(hits, "d1").where(F.col("hits") >= need).select("d1", "d2", "least", "rep.*")
+    open_ = cut(open_)
+    n_open = open_.count()
+    few = n_open <= FEW_NODES
+    nodes = cut((open_.coalesce(1) if few else open_).withColumn("node", F.monotonically_increasing_id()))
+    nodes = nodes.coalesce(1) if few else nodes
+    links = None if not n_open else _links(_ranked(texts, nodes, words, by_simhash), percent, leaders, by_simhash)
     sets = sets.select("d1", "d2", "least")
     if links is not None:
         roots = components(links)
-        of = nodes.select("d1", "d2", "node").join(roots, "node").select("d1", "d2", "root")
-        sets = sets.join(of, ["d1", "d2"], "left")
-        top = sets.where("root is not null").groupBy("root").agg(F.min("least").alias("top"), F.min(F.struct("d1", "d2")).alias("first"))
-        sets = sets.join(top, "root", "left").select("d1", "d2", F.when(F.isnull("root"), F.col("least")).otherwise(F.col("top")).alias("least"), F.coalesce("first", F.struct("d1", "d2")).alias("set_id"))
+        here = F.broadcast if few else (lambda x: x)
+        of = nodes.select("d1", "d2", "least", "node").join(here(roots), "node").drop("node")
+        top = of.groupBy("root").agg(F.min("least").alias("top"), F.min(F.struct("d1", "d2")).alias("first"))
+        of = of.drop("least").join(here(top), "root")
+        sets = sets.join(here(of), ["d1", "d2"], "left").select("d1", "d2", F.when(F.isnull("root"), F.col("least")).otherwise(F.col("top")).alias("least"), F.coalesce("first", F.struct("d1", "d2")).alias("set_id"))
     else:
         sets = sets.withColumn("set_id", F.struct("d1", "d2"))
     sets = cut(sets.select(F.bitwise_not("d1").alias("not_d1"), F.col("d2").alias("e2"), "least", "set_id"))

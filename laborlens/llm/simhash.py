@@ -67,28 +67,30 @@ def _lower():
     return F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 32))
 
 
-def near_links(prints: DataFrame, bucket_cap: int = 64) -> DataFrame:
+def near_links(prints: DataFrame, bucket_cap: int = 64, few: bool = False) -> DataFrame:
     """Links ``(u, v)`` between nodes whose fingerprints differ in 1 or 2 bits.
 
     ``prints``: ``(fp, node)``, each fingerprint once. Every class that links by
-    the distance is connected by the links returned; copies need none.
+    the distance is connected by the links returned; copies need none. ``few``
+    fingerprints, in one partition, stay in it.
     """
+    here = F.broadcast if few else (lambda x: x)
     stored = prints.select("fp", "node", F.explode(F.array(_upper(), _lower())).alias("key"))
     ball = [_lower(), *(_lower().bitwiseXOR(F.lit(1 << i)) for i in range(32))]
     probes = prints.select("fp", "node", F.explode(F.array(_upper(), *ball)).alias("key"))
     hot = cut(stored.groupBy("key").count().where(F.col("count") > bucket_cap).select("key"))
     any_hot = not hot.isEmpty()
     if any_hot:
-        met = probes.join(hot, "key", "left_semi").select("fp", "node").distinct()
-        probes, stored = probes.join(hot, "key", "left_anti"), stored.join(hot, "key", "left_anti")
+        met = probes.join(here(hot), "key", "left_semi").select("fp", "node").distinct()
+        probes, stored = probes.join(here(hot), "key", "left_anti"), stored.join(here(hot), "key", "left_anti")
     a, b = probes.alias("a"), stored.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 2
-    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    links = a.join(here(b), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     if any_hot:
         points = met.select("node", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63))) for i in range(64)))).alias("point"))
         centre = points.groupBy("point").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("point", "v")
-        links = links.union(points.join(centre, "point").where("node <> v").select(F.col("node").alias("u"), "v"))
-    return links.distinct()
+        links = links.union(points.join(here(centre), "point").where("node <> v").select(F.col("node").alias("u"), "v"))
+    return (links.coalesce(1) if few else links).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bucket_cap: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -158,3 +158,44 @@ def test_stage_links_near_fingerprints_first(spark, monkeypatch):
     [(prints, pairs)] = asked
     assert sorted(fp % (1 << 64) for fp in prints.values()) == sorted(brute.fingerprint(t) for _, t in rows)
     assert pairs and all(((prints[u] ^ prints[v]) % (1 << 64)).bit_count() <= 2 for u, v in pairs)
+
+
+def few_families(rng, families=20):
+    """Texts in families of near copies, one of copies too."""
+    rows = []
+    for k in range(families):
+        base = [f"f{k}w{i}" for i in range(120)]
+        rows += [(4 * k + i, edited(rng, base, e)) for i, e in enumerate((0, 1, 2, 5))]
+    return rows + [(900 + i, rows[0][1]) for i in range(5)]
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+@pytest.mark.parametrize("by_simhash", [False, True])
+def test_few_rows_in_one_partition_change_no_class(spark, monkeypatch, few, by_simhash):
+    """What is few stays in one partition; with nothing taken as few the classes are the same."""
+    for name in ("FEW_PRINTS", "FEW_NODES", "FEW_KEYS", "FEW_SHINGLES", "EDGES_A_PART"):
+        monkeypatch.setattr(set_join, name, few or 1)
+    rows = few_families(random.Random(5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in set_join.joined(docs, by_simhash=by_simhash).collect()}
+    assert got == {i: rows[top][0] for (i, _), top in zip(rows, roots(rows))}
+
+
+def test_tasks_of_few_rows_do_not_grow_with_the_partitions(spark):
+    """The rounds over few candidates need no task for each shuffle partition; each such task leaves files and events on disk."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, sc = {k: spark.conf.get(k) for k in conf}, spark.sparkContext
+    rows = few_families(random.Random(6))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few", "few")
+        near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        told = sc.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup("few") for s in told.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(told.getStageInfo, stages) if i)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks < 60 * 40, tasks
