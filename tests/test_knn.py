@@ -59,3 +59,36 @@ def test_a_batch_of_queries_asks_for_some_cells_at_a_time():
     assert max(map(len, frames)) == 64
     got = pd.concat(frames)
     assert sorted(got["dq"]) == sorted(d[d % 3 > 0]) and (got["dq"] == got["q"] * 40 + got["cell"]).all()
+
+
+def shuffled(df):
+    """Rows that the shuffles of a query wrote."""
+    df.collect()
+
+    def rows(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return rows(plan.executedPlan())
+        if "QueryStage" in kind:
+            return rows(plan.plan())
+        written = plan.metrics().get("shuffleRecordsWritten")
+        children = plan.children()
+        return (written.get().value() if written.isDefined() else 0) + sum(rows(children.apply(i)) for i in range(children.size()))
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+def test_vectors_go_to_blocks_not_to_each_cell(spark):
+    """Where no bound helps, a query met each of 39 cells in a row of its own, and brought ten neighbours from each."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(6).normal(size=(1500, 64)))]
+    df = knn.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10, block=512)
+    assert 0 < shuffled(df) < 50 * len(rows)
+    rows = [(i, np.float32(v).astype(float)) for i, v in rows]
+    assert got(df) == {q: [(i, pytest.approx(s, abs=1e-9)) for i, s in hits] for q, hits in every(rows, 10).items()}
+
+
+@pytest.mark.parametrize("values", [np.repeat(np.random.default_rng(7).normal(size=(20, 8)), [60] + [3] * 19, axis=0), np.random.default_rng(8).integers(-1, 2, size=(150, 4))])
+def test_equal_vectors_go_by_id_over_blocks(spark, values):
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(np.random.default_rng(9).permutation(1000), values)]
+    found = got(knn.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, block=40))
+    assert found == {q: [(i, pytest.approx(s, abs=1e-9)) for i, s in hits] for q, hits in every(rows, 10).items()}
